@@ -18,8 +18,9 @@ import json
 import re
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,8 +33,8 @@ from ._shared import own, pieces, prepare
 
 #: Distinct words, and their tokens, that a worker remembers before it starts anew; words beyond LONG_WORD never are.
 MEMO_WORDS, MEMO_TOKENS, LONG_WORD = 900_000, 6_000_000, 200
-#: Characters of text that are split into words at once.
-SLICE = 1 << 16
+#: Characters of one text that are split into words at once.
+SLICE = 1 << 22
 _SPACE = re.compile(r"[ \t\n\r\x0b\f]")
 _PLAIN = re.compile(r"([a-z]+)([.,!?]?)")
 
@@ -226,50 +227,63 @@ def byte_table() -> dict[str, int]:
     return table
 
 
-def slices(text: str, size: int = SLICE) -> Iterator[list[str]]:
-    """The words of a text, some tens of thousands of characters at a time; a cut is always at ASCII white space."""
-    if len(text) <= size:
-        yield text.split(None) if text.isascii() and not re.search(r"[\x1c-\x1f]", text) else [x for x in _SPACE.split(text) if x]
-        return
+def words_of(text: str) -> list[str]:
+    """The text cut at white space; where Python would also cut at the separators 1C to 1F, which aren't, at ASCII white space only."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [x for x in _SPACE.split(text) if x]
+    return text.split()
+
+
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text in parts of some hundred thousand characters that end at ASCII white space."""
     start = 0
     while start < len(text):
         end = start + size
-        if end < len(text):
-            m = _SPACE.search(text, end)
-            end = m.start() if m else len(text)
-        yield [x for x in _SPACE.split(text[start:end]) if x]
+        m = _SPACE.search(text, end) if end < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[start:end]
         start = end
 
 
 class Memo(dict):
-    """Word to row of a bounded table of token ids."""
+    """Word to row of a bounded table of token ids. encode gives the ids of a list of words."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]) -> None:
         super().__init__()
-        self.encode, self.ids, self.starts, self.sizes = encode, array("I"), array("q"), array("i")
-
-    def __missing__(self, word: str) -> int:
-        ids = self.encode(word)
-        n = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(ids))
-        self.ids.extend(ids)
-        if len(word) <= LONG_WORD:
-            self[word] = n
-        return n
-
-    def tokens(self, words: list[str]) -> np.ndarray:
-        """The ids of the words in turn as unsigned 32-bit integers."""
+        self.encode = encode
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, as unsigned 32-bit integers, and where each text's begin and end."""
+        if sum(map(len, texts)) > SLICE and len(texts) == 1:
+            parts = [self.many([x])[0] for x in slices(texts[0])]
+            flat = np.concatenate(parts)
+            return flat, np.array([0, len(flat)])
+        lists = [words_of(x) for x in texts]
+        words = list(chain.from_iterable(lists))
         if len(self.starts) > MEMO_WORDS or len(self.ids) > MEMO_TOKENS:
-            self.clear()
-            self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
+            self.reset()
+        fresh = list(set(words).difference(self.keys()))
+        long = []
+        for word, ids in zip(fresh, self.encode(fresh), strict=True):
+            self[word] = len(self.starts)
+            self.starts.append(len(self.ids))
+            self.sizes.append(len(ids))
+            self.ids.extend(ids)
+            if len(word) > LONG_WORD:
+                long.append(word)
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if not len(rows):
-            return np.zeros(0, np.uint32)
-        sizes = np.frombuffer(self.sizes, np.int32)[rows].astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[rows] - ends + sizes, sizes)
-        return np.frombuffer(self.ids, np.uint32)[at]
+        for word in long:
+            del self[word]
+        sizes = np.frombuffer(self.sizes, np.int32)[rows].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[rows] - ends[:-1], sizes) if len(rows) else np.zeros(0, np.int64)
+        flat = np.frombuffer(self.ids, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
+        return flat, ends[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
 
 
 _HELD: dict[str, tuple[Transducer, Memo, list[str]]] = {}
@@ -282,14 +296,12 @@ def held(path: str) -> tuple[Transducer, Memo, list[str]]:
         surface = [""] * (max(t.surface) + 1)
         for i, x in t.surface.items():
             surface[i] = x
-        _HELD[path] = t, Memo(t.word), surface
+        _HELD[path] = t, Memo(lambda words: map(t.word, words)), surface
     return _HELD[path]
 
 
 def encode_text(text: str | None, path: str) -> np.ndarray:
-    _, memo, _ = held(path)
-    parts = [memo.tokens(words) for words in slices(text or "")]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    return held(path)[1].many([text or ""])[0]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -305,19 +317,18 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, _, surface = held(tokenizer)
+        transducer, memo, surface = held(tokenizer)
         for whole in batches:
             for batch in pieces(whole, text):
-                found = [encode_text(x, tokenizer) for x in batch.column(text).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-                arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
+                flat, edges = memo.many([x or "" for x in batch.column(text).to_pylist()])
+                arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 names = [*batch.schema.names, ids]
                 if decoded:
+                    found = [flat[a:b].tolist() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                     if transducer.byte_level:
-                        texts = ["".join(transducer.decode(x.tolist())) for x in found]
+                        texts = ["".join(transducer.decode(x)) for x in found]
                     else:
-                        texts = [" ".join(map(surface.__getitem__, x.tolist())) for x in found]
+                        texts = [" ".join(map(surface.__getitem__, x)) for x in found]
                     arrays.append(pa.array(texts, pa.string()))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(arrays, names)

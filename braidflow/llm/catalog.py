@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, search, token_store
+from . import bpe, language, mixing, search, token_store, toxicity
 from ._shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,12 +29,20 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe, op4_mixing, op5_exact_top_k, op8_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op4_mixing, op5_exact_top_k, op7_language, op8_nearest_neighbours, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ has each shard's first token, so that a document's global start is that plus a s
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, text_or_empty
-from .bpe import LONG_WORD, Memo, slices
+from .bpe import Memo
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of a select structure.
@@ -138,6 +139,8 @@ class Shard:
 
 @lru_cache(maxsize=2)
 def _library(path: str):
+    # A task has one core; the library's threads would only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -149,28 +152,18 @@ def _library(path: str):
 @lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
     library = _library(path)
-    return Memo(lambda w: library.encode(w, add_special_tokens=False).ids)
+    return Memo(lambda words: (e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)))
 
 
-def library_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Each text's ids as the tokenizers library gives them. None of the tokenizer's pre-tokens or special tokens crosses
-    ASCII white space, so that words are encoded once and remembered; where that can't be told, whole texts are encoded."""
-    library = _library(path)
-    if not splits_at_space(path):
-        for x in texts:
-            yield np.array(library.encode(x, add_special_tokens=False).ids, np.uint32)
-        return
-    memo = _memo(path)
-    for x in texts:
-        parts = []
-        for words in slices(x):
-            fresh = list({w for w in words if w not in memo and len(w) <= LONG_WORD})
-            if fresh:
-                found = dict(zip(fresh, (e.ids for e in library.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-                memo.encode = lambda w, found=found: found[w] if w in found else library.encode(w, add_special_tokens=False).ids
-            parts.append(memo.tokens(words))
-            memo.encode = lambda w: library.encode(w, add_special_tokens=False).ids
-        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+def library_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids as the tokenizers library gives them, one after the other, and where each text's begin and end.
+
+    None of the tokenizer's pre-tokens or special tokens crosses white space, so that words are encoded once and
+    remembered; where the file doesn't show that, whole texts are encoded."""
+    if splits_at_space(path):
+        return _memo(path).many(texts)
+    found = [np.array(_library(path).encode(x, add_special_tokens=False).ids, np.uint32) for x in texts]
+    return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -199,32 +192,34 @@ def write_store(docs: DataFrame, tokenizer: str, store: str, end_id: int, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ends, keys, nulls, total = TaskContext.get().partitionId(), [], [], 0, 0
+        number, ends, keys, nulls, total, docs = TaskContext.get().partitionId(), [], [], 0, 0, 0
         batches = iter(batches)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
 
         def write(stream) -> None:
-            nonlocal nulls, total
+            nonlocal nulls, total, docs
             for whole in (x for part in ([first], batches) for x in part):
                 for batch in pieces(whole, "text"):
-                    for key, ids in zip(batch.column("doc_id").to_pylist(), library_ids(batch.column("text").to_pylist(), tokenizer), strict=True):
-                        stream.write(np.append(ids, end_id).astype(f"<u{width}").tobytes())
-                        total += len(ids) + 1
-                        ends.append(total)
-                        nulls += key is None
-                        if key is not None:
-                            keys.append(key)
-            base = keys[0] if keys else 0
-            parts = [EliasFano.of(np.array(ends)).to_bytes(), EliasFano.of(np.array(keys, np.int64) - base).to_bytes()]
+                    flat, edges = library_ids(batch.column("text").to_pylist(), tokenizer)
+                    stream.write(np.insert(flat.astype(f"<u{width}"), edges[1:], end_id).tobytes())
+                    ends.append(total + edges[1:] + np.arange(1, len(edges)))
+                    total = int(ends[-1][-1])
+                    ids = batch.column("doc_id")
+                    nulls += ids.null_count
+                    keys.append(ids.drop_null().to_numpy(zero_copy_only=False))
+            known = np.concatenate(keys)
+            base = int(known[0]) if len(known) else 0
+            docs = nulls + len(known)
+            parts = [EliasFano.of(np.concatenate(ends)).to_bytes(), EliasFano.of(known - base).to_bytes()]
             at = total * width
-            foot = {"width": width, "n_docs": len(ends), "n_ids": total, "nulls": nulls, "base": base, "ends": [at, len(parts[0])], "docs": [at + len(parts[0]), len(parts[1])]}
+            foot = {"width": width, "n_docs": docs, "n_ids": total, "nulls": nulls, "base": base, "ends": [at, len(parts[0])], "docs": [at + len(parts[0]), len(parts[1])]}
             data = json.dumps(foot).encode()
             stream.write(parts[0] + parts[1] + data + struct.pack("<I8s", len(data), MAGIC))
 
         put_file(shard_uri(store, number), write)
-        yield pa.RecordBatch.from_pydict({"shard": [number], "n_docs": [len(ends)], "n_ids": [total]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"shard": [number], "n_docs": [docs], "n_ids": [total]}, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # One row a shard: as many as there are partitions, whatever the documents.
     found = sorted(materialise(rows.mapInArrow(run, "shard int, n_docs long, n_ids long"), "token-shards").collect())
