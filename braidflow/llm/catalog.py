@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, search, token_store, toxicity
+from . import bpe, language, mixing, pii, search, token_store, toxicity, warc
 from ._shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -37,13 +41,17 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe, op4_mixing, op5_exact_top_k, op7_language, op8_nearest_neighbours, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_warc, op4_mixing, op5_exact_top_k, op7_language, op8_nearest_neighbours, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": search.EXACT_ORACLE}
+    return {"op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": search.EXACT_ORACLE}
