@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from ._shared import own, pieces, prepare
 
 #: Distinct words, and their tokens, that a worker remembers before it starts anew; words beyond LONG_WORD never are.
-MEMO_WORDS, MEMO_TOKENS, LONG_WORD = 900_000, 6_000_000, 200
+MEMO_WORDS, MEMO_TOKENS, LONG_WORD = 1_500_000, 12_000_000, 200
+#: Bytes of text whose words are looked up together.
+TOGETHER = 1 << 20
 #: Characters of one text that are split into words at once.
 SLICE = 1 << 22
 _SPACE = re.compile(r"[ \t\n\r\x0b\f]")
@@ -267,7 +269,9 @@ class Memo(dict):
         words = list(chain.from_iterable(lists))
         if len(self.starts) > MEMO_WORDS or len(self.ids) > MEMO_TOKENS:
             self.reset()
-        fresh = list(set(words).difference(self.keys()))
+        # A small table for these texts: its entries stay in the processor's cache, those of the memo don't.
+        local: dict[str, int] = dict.fromkeys(words, -1)
+        fresh = [w for w in local if w not in self]
         long = []
         for word, ids in zip(fresh, self.encode(fresh), strict=True):
             self[word] = len(self.starts)
@@ -276,7 +280,9 @@ class Memo(dict):
             self.ids.extend(ids)
             if len(word) > LONG_WORD:
                 long.append(word)
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for word in local:
+            local[word] = self[word]
+        rows = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
         for word in long:
             del self[word]
         sizes = np.frombuffer(self.sizes, np.int32)[rows].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
@@ -319,7 +325,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer, memo, surface = held(tokenizer)
         for whole in batches:
-            for batch in pieces(whole, text):
+            for batch in pieces(whole, text, TOGETHER):
                 flat, edges = memo.many([x or "" for x in batch.column(text).to_pylist()])
                 arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 names = [*batch.schema.names, ids]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, text_or_empty
-from .bpe import Memo
+from .bpe import TOGETHER, Memo
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of a select structure.
@@ -201,7 +201,7 @@ def write_store(docs: DataFrame, tokenizer: str, store: str, end_id: int, text:
         def write(stream) -> None:
             nonlocal nulls, total, docs
             for whole in (x for part in ([first], batches) for x in part):
-                for batch in pieces(whole, "text"):
+                for batch in pieces(whole, "text", TOGETHER):
                     flat, edges = library_ids(batch.column("text").to_pylist(), tokenizer)
                     stream.write(np.insert(flat.astype(f"<u{width}"), edges[1:], end_id).tobytes())
                     ends.append(total + edges[1:] + np.arange(1, len(edges)))
