@@ -280,8 +280,7 @@ class Memo(dict):
             self.ids.extend(ids)
             if len(word) > LONG_WORD:
                 long.append(word)
-        for word in local:
-            local[word] = self[word]
+        local = dict(zip(local, map(self.__getitem__, local), strict=True))
         rows = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
         for word in long:
             del self[word]
