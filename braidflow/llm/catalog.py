@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, pii, search, token_store, toxicity, warc
+from . import bpe, jaccard, language, mixing, pii, search, token_store, toxicity, warc
 from ._shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_warc, op4_mixing, op5_exact_top_k, op7_language, op8_nearest_neighbours, op9_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_warc, op4_mixing, op5_exact_top_k, op6_jaccard, op7_language, op8_nearest_neighbours, op9_pii, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": search.EXACT_ORACLE}
+    return {"op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": search.EXACT_ORACLE, "op6_jaccard": jaccard.ORACLE}
