@@ -4,7 +4,7 @@ Entities are found by one pattern, and a text is rebuilt from what lies between
 replacement meets another. A surrogate depends on the key, the entity's kind and its canonical form alone: the same
 address, number or person gets the same one in every document, in whatever case or grouping it is written. Characters
 are replaced within their class (digits, hexadecimal digits, upper and lower case of Latin, Greek and Cyrillic), all
-others stay; card numbers keep their first digit and their check digit's validity, telephone numbers their country code,
+others stay; card numbers keep their first digit and their check digit's validity, telephone numbers their country code, access keys their prefix,
 addresses form valid quads, mail addresses their last label. A given name becomes one of the same gender and script, a
 form of address stays, a surname becomes letters of its own script.
 
@@ -36,22 +36,29 @@ GIVEN = {
 _UPPER = r"\p{Lu}\p{Ll}+"
 _TITLES = "|".join(t for v in TITLES.values() for t in sorted(v, key=len, reverse=True))
 _NAMES = "|".join(n for v in GIVEN.values() for n in v)
-#: Kinds and their patterns, tried in this order at each place.
+_WORDS_OF_SECRETS = "password|passwd|pwd|token|secret|api_?key"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: Kinds and their patterns; those of one first character are tried in this order.
 KINDS = {
-    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:token|secret|passwd|password|pwd|api_key|apikey)[\x20]?[=:][\x20]?[\"']?)(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}",
-    "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\p{L}0-9.])[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,4}(?![\p{L}0-9])",
-    "ip": r"(?<![\p{L}0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
-    "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![\p{L}0-9+])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.?[\x20]{_UPPER}(?:[\x20]{_UPPER})?|(?:{_NAMES})(?!\p{{L}})(?:[\x20]{_UPPER})?)(?!\p{{L}})",
+    "mail": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "key": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "hex": r"(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])(?:[0-9a-f]{16,}|[0-9A-F]{16,})(?![A-Za-z0-9])",
+    "secret": rf"(?:{_WORDS_OF_SECRETS})[\x20]?[=:][\x20]?[\"']?(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{8,}}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<!\.)[3-6][0-9]{3}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,4}(?![\p{L}0-9])",
+    "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<!\+)(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<!\+)\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "person": rf"(?:(?:{_TITLES})\.?[\x20]{_UPPER}(?:[\x20]{_UPPER})?|(?:{_NAMES})(?!\p{{L}})(?:[\x20]{_UPPER})?)(?!\p{{L}})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without these can't have an entity: a digit, a mail sign, a form of address or a known name.
-HINT = rf"[0-9@]|{_TITLES}|{_NAMES}"
+
+
+def _any(*kinds: str) -> str:
+    return "|".join(f"(?:{KINDS[k]})" for k in kinds)
+
+
+#: An entity starts a word. What it can be is told by its first character, so that most places cost one comparison.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[0-9+(])(?:{_any('ip', 'card', 'ssn', 'phone', 'mail', 'hex')})|(?=\p{{Lu}})(?:{_any('key', 'iban', 'person', 'mail', 'hex')})|(?=\p{{Ll}})(?:{_any('secret', 'mail', 'hex')})|(?=\p{{L}})(?:{_any('mail', 'person')}))"
 
 
 def characters(s: Column) -> Column:
@@ -59,13 +66,12 @@ def characters(s: Column) -> Column:
 
 
 def kind_of(e: Column) -> Column:
-    """An entity's kind, by its whole form; the order is that of KINDS."""
-    whole = {k: rf"^(?:{p})$" for k, p in KINDS.items() if k not in ("secret", "phone", "person")}
-    out = F.when(F.contains(e, F.lit("@")), "mail")
-    for k in ("key", "ip", "ssn"):
-        out = out.when(e.rlike(whole[k]), k)
-    out = out.when(e.rlike(r"^[+(]"), "phone").when(e.rlike(r"^(?:[0-9a-f]{10,}|[0-9A-F]{10,})$") & e.rlike("[a-fA-F]"), "hex")
-    return out.when(e.rlike(whole["card"]), "card").when(e.rlike(whole["iban"]), "iban").when(e.rlike(rf"^(?:(?:{_TITLES})\.?[\x20]|{_NAMES})"), "person").when(e.rlike(r"^[0-9.\x20()-]+$"), "phone").otherwise("secret")
+    """An entity's kind, by its form."""
+    out = F.when(F.contains(e, F.lit("@")), "mail").when(e.rlike(r"^[+(]"), "phone")
+    out = out.when(e.rlike(rf"^(?:{_WORDS_OF_SECRETS})[\x20]?[=:]"), "secret")
+    for k in ("key", "ip", "ssn", "hex", "card", "iban"):
+        out = out.when(e.rlike(rf"^(?:{KINDS[k]})$"), k)
+    return out.when(e.rlike(r"^[0-9]"), "phone").otherwise("person")
 
 
 def canonical(e: Column, kind: Column) -> Column:
@@ -144,41 +150,54 @@ def person(e: Column, h: Column) -> Column:
     return F.array_join(F.transform(words, lambda w, i: F.when(title & (i == 0), w).otherwise(gendered(w))), " ")
 
 
-def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
-    """What stands in for an entity, written as the entity is."""
-    kind = kind_of(e)
-    h = keyed(key, kind, canonical(e, kind), attempt.cast("string"))
+def surrogates_of(entities: Column, attempt, key: str = KEY) -> Column:
+    """What stands in for each entity of an array, written as the entity is. attempt(kind, canonical form) gives a number.
+
+    Each step adds a field, so that none is computed again for every character."""
+    x = F.transform(entities, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), canonical(r["e"], r["kind"]).alias("canon")))
+    x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), keyed(key, r["kind"], r["canon"], attempt(r["kind"], r["canon"]).cast("string")).alias("h")))
+    return F.transform(x, lambda r: _made(r["e"], r["kind"], r["h"]))
+
+
+def _made(e: Column, kind: Column, h: Column) -> Column:
     octets = [byte(h, F.lit(i)) for i in range(4)]
     ip = F.concat_ws(".", (octets[0] % 223 + 1).cast("string"), *[o.cast("string") for o in octets[1:3]], (octets[3] % 254 + 1).cast("string"))
     code = F.length(F.regexp_replace(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[^0-9])", 0), r"\+", ""))
-    kept = F.when(kind == "card", 1).when(kind == "phone", code).when(kind == "key", 4).when(kind == "iban", 2).otherwise(0)
-    hexadecimal = kind == "hex"
     label = F.regexp_extract(e, r"\.\p{L}+$", 0)
-    mail = F.concat(substituted(F.substr(e, F.lit(1), F.length(e) - F.length(label)), h, F.lit(0), F.lit(False)), label)
-    plain = substituted(e, h, kept, hexadecimal)
-    digits = F.regexp_replace(e, r"[^0-9]", "")
+    no = F.lit(False)
+    mail = F.concat(substituted(F.substr(e, F.lit(1), F.length(e) - F.length(label)), h, F.lit(0), no), label)
+    word = F.regexp_extract(e, rf"^(?:{_WORDS_OF_SECRETS})[\x20]?[=:][\x20]?[\"']?", 0)
+    value = F.substr(e, F.length(word) + 1, F.length(e))
+    secret = F.concat(word, F.when(value.rlike("^[0-9a-f]+$"), substituted(value, h, F.lit(0), F.lit(True))).otherwise(substituted(value, h, F.lit(0), no)))
+    plain = substituted(e, h, F.lit(1), no)
     new = F.regexp_replace(plain, r"[^0-9]", "")
     fixed = last_digit(plain, F.pmod(10 - luhn(last_digit(new, F.lit(0))), F.lit(10)))
-    card = F.when(luhn(digits) == 0, fixed).otherwise(plain)
-    return F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "person", person(e, h)).otherwise(plain)
+    card = F.when(luhn(F.regexp_replace(e, r"[^0-9]", "")) == 0, fixed).otherwise(plain)
+    out = F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret).when(kind == "person", person(e, h))
+    out = out.when(kind == "phone", substituted(e, h, code, no)).when(kind == "hex", substituted(e, h, F.lit(0), F.lit(True)))
+    return out.when(kind == "key", substituted(e, h, F.lit(4), no)).when(kind == "iban", substituted(e, h, F.lit(2), no)).otherwise(substituted(e, h, F.lit(0), no))
 
 
 def found(text: Column) -> Column:
     """A text's entities in turn; null has none."""
     none = F.array().cast("array<string>")
-    return F.when(text.isNotNull() & text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(0))).otherwise(none)
+    return F.when(text.isNotNull(), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(0))).otherwise(none)
 
 
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the distinct entities of a column `entity` whose first surrogate isn't theirs to keep."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = kind_of(F.col("entity"))
     # Two writings of one entity share their surrogate's canonical form; one of them stands for both.
     table = entities.select(kind.alias("kind"), canonical(F.col("entity"), kind).alias("canon"), "entity").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
     table = materialise(table.withColumn("attempt", F.lit(0)), "pii-entities")
     real = table.select(F.col("canon").alias("real"), F.col("kind").alias("real_kind"))
     while True:
-        made = surrogate(F.col("entity"), F.col("attempt"), key)
-        rows = materialise(table.withColumn("made", canonical(made, F.col("kind"))), "pii-surrogates")
+        made = surrogates_of(F.array("entity"), lambda kind, canon: F.col("attempt"), key)[0]
+        # Dealt out evenly: a surrogate takes longer than its row is large.
+        rows = table.repartition(parts, "canon").withColumn("new", made)
+        rows = materialise(rows.withColumn("made", canonical(F.col("new"), F.col("kind"))).drop("new"), "pii-surrogates")
         first = rows.groupBy(F.col("kind").alias("k"), F.col("made").alias("m")).agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1")
         met = rows.join(first, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("m"))).filter("canon <> first").select("kind", "canon")
         taken = rows.join(real, (F.col("kind") == F.col("real_kind")) & (F.col("made") == F.col("real")), "left_semi").select("kind", "canon")
@@ -208,14 +227,14 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     few = later.limit(MAP_ENTITIES + 1).collect()
     if len(few) <= MAP_ENTITIES:
 
-        def attempt(e: Column) -> Column:
+        def attempt(kind: Column, canon: Column) -> Column:
             out = F.lit(0)
             for n in sorted({r["attempt"] for r in few}):
                 names = [f"{r['kind']}\x1f{r['canon']}" for r in few if r["attempt"] == n]
-                out = F.when(F.concat_ws("\x1f", kind_of(e), canonical(e, kind_of(e))).isin(*names), F.lit(n)).otherwise(out)
+                out = F.when(F.concat_ws("\x1f", kind, canon).isin(*names), F.lit(n)).otherwise(out)
             return out
 
-        out = rows.withColumn(made, F.transform(entities, lambda e: surrogate(e, attempt(e), key)))
+        out = rows.withColumn(made, surrogates_of(F.col(entities), attempt, key))
     else:
         # Documents that have such entities get a map of their attempts, by joins on the entities.
         row = own("row")
@@ -223,9 +242,9 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         each = rows.select(row, F.explode(F.array_distinct(entities)).alias("entity"))
         each = each.withColumn("k", kind_of(F.col("entity"))).withColumn("c", canonical(F.col("entity"), F.col("k")))
         each = each.join(later, (F.col("k") == F.col("kind")) & (F.col("c") == F.col("canon")))
-        maps = each.groupBy(F.col(row).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(own("map")))
+        maps = each.select(row, F.concat_ws("\x1f", "kind", "canon").alias("name"), "attempt").distinct().groupBy(F.col(row).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(own("map")))
         rows = rows.join(maps, F.col(row) == F.col("r"), "left").drop(row, "r")
-        out = rows.withColumn(made, F.transform(entities, lambda e: surrogate(e, F.coalesce(F.element_at(own("map"), e), F.lit(0)), key))).drop(own("map"))
+        out = rows.withColumn(made, surrogates_of(F.col(entities), lambda kind, canon: F.coalesce(F.try_element_at(own("map"), F.concat_ws("\x1f", kind, canon)), F.lit(0)), key)).drop(own("map"))
     some = F.size(entities) > 0
     out = out.withColumn(own("n_entities"), F.size(entities).cast("long"))
     return out.withColumn(text, F.when(some, rebuilt(F.col(text), F.col(made))).otherwise(F.col(text))).drop(entities, made)
