@@ -41,7 +41,7 @@ def correlation(pairs: DataFrame, key: str, size: int) -> DataFrame:
 def peaks(scores: DataFrame, key: str, size: int, apart: int = 1) -> DataFrame:
     """Highest shift of each patch, first of equals, as a signed displacement, and its ratio to the highest one elsewhere."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "dy", "dx")
-    top = scores.withColumn("k", F.row_number().over(w)).filter("k = 1").select(key, F.col("dy").alias("py"), F.col("dx").alias("px"), F.col("score").alias("peak"))
+    top = scores.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(key, F.col("dy").alias("py"), F.col("dx").alias("px"), F.col("score").alias("peak"))
     rows = scores.join(top, key)
 
     def gap(a: str, b: str):

@@ -45,8 +45,8 @@ def erode(pixels: DataFrame, keys: list[str], times: int = 1) -> DataFrame:
 def outline_length(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Length in pixels of the contour at half height around set pixels: each square of four pixels that isn't all of one
     kind adds a piece by which of them are set: a corner half the root of 2, a side 1, two opposite corners the root of 2."""
-    corner = F.explode(F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(k).alias("k")) for k, (i, j) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)])])).alias("d")
-    squares = pixels.distinct().select(*keys, "r", "c", corner).select(*keys, (F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c"), F.shiftleft(F.lit(1), F.col("d.k")).alias("bit"))
+    corner = F.explode(F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(1 << k).alias("bit")) for k, (i, j) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)])])).alias("d")
+    squares = pixels.distinct().select(*keys, "r", "c", corner).select(*keys, (F.col("r") + F.col("d.i")).alias("r"), (F.col("c") + F.col("d.j")).alias("c"), F.col("d.bit"))
     case = squares.groupBy(*keys, "r", "c").agg(F.sum("bit").alias("case"))
     piece = F.when(F.col("case").isin(1, 2, 4, 8, 7, 11, 13, 14), math.sqrt(0.5)).when(F.col("case").isin(6, 9), math.sqrt(2.0)).when(F.col("case") == 15, 0.0).otherwise(1.0)
     return case.groupBy(*keys).agg(F.sum(piece).alias("length"))

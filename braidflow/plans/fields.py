@@ -24,8 +24,8 @@ def patches(spark, sf_dir):
 
 
 @query(f"""WITH {PATCH}, {SCORES}, t AS (SELECT k, dy, dx, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, dy, dx) AS n FROM sc), p AS (SELECT k, dy py, dx px, score peak FROM t WHERE n=1),
-s AS (SELECT k, any_value(px) px, any_value(py) py, any_value(peak) peak, max(score) FILTER (least(abs(dy-py),8-abs(dy-py))>1 OR least(abs(dx-px),8-abs(dx-px))>1) second FROM sc JOIN p USING (k) GROUP BY k)
-SELECT k, (CASE WHEN px>4 THEN px-8 ELSE px END)::INTEGER dx, (CASE WHEN py>4 THEN py-8 ELSE py END)::INTEGER dy, round(peak,5) peak, round(CASE WHEN second>0 THEN peak/second END,4) signal FROM s""")
+s AS (SELECT k, any_value(px) px, any_value(py) py, any_value(peak) peak, max(score) FILTER (least(abs(dy-py),8-abs(dy-py))>1 OR least(abs(dx-px),8-abs(dx-px))>1) AS next_peak FROM sc JOIN p USING (k) GROUP BY k)
+SELECT k, (CASE WHEN px>4 THEN px-8 ELSE px END)::INTEGER dx, (CASE WHEN py>4 THEN py-8 ELSE py END)::INTEGER dy, round(peak,5) peak, round(CASE WHEN next_peak>0 THEN peak/next_peak END,4) signal FROM s""")
 def i03_i05_displacement(spark, sf_dir):
     out = displacement.peaks(displacement.correlation(patches(spark, sf_dir), "k", 8), "k", 8)
     return out.select("k", F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), F.round("peak", 5).alias("peak"), F.round("signal", 4).alias("signal"))
