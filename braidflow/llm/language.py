@@ -43,6 +43,8 @@ def grams(text: str) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n codewords: all partitions for up to seven languages, else dense ones from a keyed digest, all distinct."""
+    if not n:
+        return np.zeros((0, 0), int)
     if n <= 7:
         bits = [[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for i in range(n)] for b in range((1 << max(n - 1, 0)) - 1)]
         return np.array(bits or [[1] * n]).T.reshape(n, -1)
@@ -68,7 +70,7 @@ class Model:
             weights.append(w)
             trust.append(max(float(margins.min()), 1e-3))
         self.weights = np.array(weights, np.float32).T
-        self.trust = np.array(trust) / sum(trust)
+        self.trust = np.array(trust) / max(sum(trust), 1e-9)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, a score from 0 to 1, and whether another is nearly as near."""
