@@ -20,11 +20,11 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +33,10 @@ from ._shared import own, pieces, prepare
 
 #: Distinct words, and their tokens, that a worker remembers before it starts anew; words beyond LONG_WORD never are.
 MEMO_WORDS, MEMO_TOKENS, LONG_WORD = 1_500_000, 12_000_000, 200
-#: Bytes of text whose words are looked up together.
-TOGETHER = 1 << 20
 #: Characters of one text that are split into words at once.
 SLICE = 1 << 22
 _SPACE = re.compile(r"[ \t\n\r\x0b\f]")
+MARKS = frozenset(".,!?;:")
 _PLAIN = re.compile(r"([a-z]+)([.,!?]?)")
 
 
@@ -229,13 +228,6 @@ def byte_table() -> dict[str, int]:
     return table
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut at white space; where Python would also cut at the separators 1C to 1F, which aren't, at ASCII white space only."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [x for x in _SPACE.split(text) if x]
-    return text.split()
-
-
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
     """A text in parts of some hundred thousand characters that end at ASCII white space."""
     start = 0
@@ -247,48 +239,71 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
         start = end
 
 
+def folded(word: str) -> tuple[str, str] | None:
+    """Lower-cased Latin letters and a final mark or none, if the word is made of these and isn't just such letters."""
+    letters, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+    if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+        return None
+    low = letters.lower()
+    return (low, mark) if mark or low != word else None
+
+
 class Memo(dict):
-    """Word to row of a bounded table of token ids. encode gives the ids of a list of words."""
+    """Word to row of a bounded table of token ids. encode gives the ids of a list of words. With folds, words of letters and a
+    mark are made of the lower-cased letters' and the mark's ids: the tokenizer must lower-case and part them there."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], folds: bool = False) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.folds = encode, folds
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
 
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts, one after the other, as unsigned 32-bit integers, and where each text's begin and end."""
-        if sum(map(len, texts)) > SLICE and len(texts) == 1:
-            parts = [self.many([x])[0] for x in slices(texts[0])]
+    def keep(self, word: str, ids: Iterable[int]) -> None:
+        before = len(self.ids)
+        self.ids.extend(ids)
+        self[word] = len(self.starts)
+        self.starts.append(before)
+        self.sizes.append(len(self.ids) - before)
+
+    def held_ids(self, word: str) -> array:
+        row = self[word]
+        return self.ids[self.starts[row] : self.starts[row] + self.sizes[row]]
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an array of texts, one after the other, as unsigned 32-bit integers, and where each text's begin
+        and end. Splitting and finding the distinct words is Arrow's; Python sees each of those once."""
+        texts = pc.fill_null(texts, "")
+        if len(texts) == 1 and texts.nbytes > SLICE:
+            parts = [self.many(pa.array([x], pa.string()))[0] for x in slices(texts[0].as_py())]
             flat = np.concatenate(parts)
             return flat, np.array([0, len(flat)])
-        lists = [words_of(x) for x in texts]
-        words = list(chain.from_iterable(lists))
         if len(self.starts) > MEMO_WORDS or len(self.ids) > MEMO_TOKENS:
             self.reset()
-        # A small table for these texts: its entries stay in the processor's cache, those of the memo don't.
-        local: dict[str, int] = dict.fromkeys(words, -1)
-        fresh = [w for w in local if w not in self]
-        long = []
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        fresh = [w for w in distinct if w not in self]
+        made = {w: p for w in fresh if (p := folded(w))} if self.folds else {}
+        if made:
+            parts = dict.fromkeys(x for p in made.values() for x in p if x and x not in self)
+            fresh = [*dict.fromkeys([*(w for w in fresh if w not in made), *parts])]
         for word, ids in zip(fresh, self.encode(fresh), strict=True):
-            self[word] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.sizes.append(len(ids))
-            self.ids.extend(ids)
-            if len(word) > LONG_WORD:
-                long.append(word)
-        local = dict(zip(local, map(self.__getitem__, local), strict=True))
-        rows = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
+            self.keep(word, ids)
+        for word, parts in made.items():
+            self.keep(word, [i for x in parts if x for i in self.held_ids(x)])
+        long = [w for w in distinct if len(w) > LONG_WORD]
+        rows = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         for word in long:
             del self[word]
-        sizes = np.frombuffer(self.sizes, np.int32)[rows].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        if not len(rows):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        sizes = np.frombuffer(self.sizes, np.int32)[rows].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[rows] - ends[:-1], sizes) if len(rows) else np.zeros(0, np.int64)
-        flat = np.frombuffer(self.ids, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
-        return flat, ends[np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)]
+        at = np.arange(ends[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[rows] - ends[:-1], sizes)
+        return np.frombuffer(self.ids, np.uint32)[at], ends[lists.offsets.to_numpy()]
 
 
 _HELD: dict[str, tuple[Transducer, Memo, list[str]]] = {}
@@ -306,7 +321,7 @@ def held(path: str) -> tuple[Transducer, Memo, list[str]]:
 
 
 def encode_text(text: str | None, path: str) -> np.ndarray:
-    return held(path)[1].many([text or ""])[0]
+    return held(path)[1].many(pa.array([text], pa.string()))[0]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -324,8 +339,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer, memo, surface = held(tokenizer)
         for whole in batches:
-            for batch in pieces(whole, text, TOGETHER):
-                flat, edges = memo.many([x or "" for x in batch.column(text).to_pylist()])
+            for batch in pieces(whole, text):
+                flat, edges = memo.many(batch.column(text))
                 arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 names = [*batch.schema.names, ids]
                 if decoded:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, text_or_empty
-from .bpe import TOGETHER, Memo
+from .bpe import MARKS, Memo
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of a select structure.
@@ -152,17 +152,19 @@ def _library(path: str):
 @lru_cache(maxsize=2)
 def _memo(path: str) -> Memo:
     library = _library(path)
-    return Memo(lambda words: (e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)))
+    one = lambda w: library.encode(w, add_special_tokens=False).ids
+    folds = all(one("Abcé" + m) == one("abcé") + one(m) for m in sorted(MARKS)) and one("Abcé") == one("abcé")
+    return Memo(lambda words: (e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)), folds)
 
 
-def library_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def library_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The texts' ids as the tokenizers library gives them, one after the other, and where each text's begin and end.
 
     None of the tokenizer's pre-tokens or special tokens crosses white space, so that words are encoded once and
     remembered; where the file doesn't show that, whole texts are encoded."""
     if splits_at_space(path):
         return _memo(path).many(texts)
-    found = [np.array(_library(path).encode(x, add_special_tokens=False).ids, np.uint32) for x in texts]
+    found = [np.array(_library(path).encode(x or "", add_special_tokens=False).ids, np.uint32) for x in texts.to_pylist()]
     return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
 
@@ -201,8 +203,8 @@ def write_store(docs: DataFrame, tokenizer: str, store: str, end_id: int, text:
         def write(stream) -> None:
             nonlocal nulls, total, docs
             for whole in (x for part in ([first], batches) for x in part):
-                for batch in pieces(whole, "text", TOGETHER):
-                    flat, edges = library_ids(batch.column("text").to_pylist(), tokenizer)
+                for batch in pieces(whole, "text"):
+                    flat, edges = library_ids(batch.column("text"), tokenizer)
                     stream.write(np.insert(flat.astype(f"<u{width}"), edges[1:], end_id).tobytes())
                     ends.append(total + edges[1:] + np.arange(1, len(edges)))
                     total = int(ends[-1][-1])
