@@ -4,7 +4,7 @@ Entities are found by one pattern, and a text is rebuilt from what lies between
 replacement meets another. A surrogate depends on the key, the entity's kind and its canonical form alone: the same
 address, number or person gets the same one in every document, in whatever case or grouping it is written. Characters
 are replaced within their class (digits, hexadecimal digits, upper and lower case of Latin, Greek and Cyrillic), all
-others stay; card numbers keep their first digit and their check digit's validity, telephone numbers their country code, access keys their prefix,
+others stay; card numbers, which only a right check digit makes, keep their first digit and a right check digit, telephone numbers their country code, access keys their prefix,
 addresses form valid quads, mail addresses their last label. A given name becomes one of the same gender and script, a
 form of address stays, a surname becomes letters of its own script.
 
@@ -66,11 +66,13 @@ def characters(s: Column) -> Column:
 
 
 def kind_of(e: Column) -> Column:
-    """An entity's kind, by its form."""
+    """An entity's kind, by its form; `none` for a number like a card's whose check digit is wrong: it stays as it is."""
     out = F.when(F.contains(e, F.lit("@")), "mail").when(e.rlike(r"^[+(]"), "phone")
     out = out.when(e.rlike(rf"^(?:{_WORDS_OF_SECRETS})[\x20]?[=:]"), "secret")
-    for k in ("key", "ip", "ssn", "hex", "card", "iban"):
+    for k in ("key", "ip", "ssn", "hex"):
         out = out.when(e.rlike(rf"^(?:{KINDS[k]})$"), k)
+    number = e.rlike(rf"^(?:{KINDS['card']})$")
+    out = out.when(number & (luhn(F.regexp_replace(e, r"[^0-9]", "")) == 0), "card").when(number, "none").when(e.rlike(rf"^(?:{KINDS['iban']})$"), "iban")
     return out.when(e.rlike(r"^[0-9]"), "phone").otherwise("person")
 
 
@@ -173,8 +175,7 @@ def _made(e: Column, kind: Column, h: Column) -> Column:
     plain = substituted(e, h, F.lit(1), no)
     new = F.regexp_replace(plain, r"[^0-9]", "")
     fixed = last_digit(plain, F.pmod(10 - luhn(last_digit(new, F.lit(0))), F.lit(10)))
-    card = F.when(luhn(F.regexp_replace(e, r"[^0-9]", "")) == 0, fixed).otherwise(plain)
-    out = F.when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", secret).when(kind == "person", person(e, h))
+    out = F.when(kind == "none", e).when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", fixed).when(kind == "secret", secret).when(kind == "person", person(e, h))
     out = out.when(kind == "phone", substituted(e, h, code, no)).when(kind == "hex", substituted(e, h, F.lit(0), F.lit(True)))
     return out.when(kind == "key", substituted(e, h, F.lit(4), no)).when(kind == "iban", substituted(e, h, F.lit(2), no)).otherwise(substituted(e, h, F.lit(0), no))
 
@@ -190,7 +191,7 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = kind_of(F.col("entity"))
     # Two writings of one entity share their surrogate's canonical form; one of them stands for both.
-    table = entities.select(kind.alias("kind"), canonical(F.col("entity"), kind).alias("canon"), "entity").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
+    table = entities.select(kind.alias("kind"), canonical(F.col("entity"), kind).alias("canon"), "entity").filter("kind <> 'none'").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
     table = materialise(table.withColumn("attempt", F.lit(0)), "pii-entities")
     real = table.select(F.col("canon").alias("real"), F.col("kind").alias("real_kind"))
     while True:
@@ -246,7 +247,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         rows = rows.join(maps, F.col(row) == F.col("r"), "left").drop(row, "r")
         out = rows.withColumn(made, surrogates_of(F.col(entities), lambda kind, canon: F.coalesce(F.try_element_at(own("map"), F.concat_ws("\x1f", kind, canon)), F.lit(0)), key)).drop(own("map"))
     some = F.size(entities) > 0
-    out = out.withColumn(own("n_entities"), F.size(entities).cast("long"))
+    out = out.withColumn(own("n_entities"), F.size(F.filter(entities, lambda e: kind_of(e) != "none")).cast("long"))
     return out.withColumn(text, F.when(some, rebuilt(F.col(text), F.col(made))).otherwise(F.col(text))).drop(entities, made)
 
 
