@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -80,6 +81,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWNER: dict = {"name": None, "clear": None}
+
+
+def take_memory(name: str, clear: Callable[[], object]) -> None:
+    """Called where an operator starts in a worker: what another one remembered there is let go, as workers live on."""
+    if _OWNER["name"] not in (None, name):
+        _OWNER["clear"]()
+    _OWNER.update(name=name, clear=clear)
+
+
 def own(name: str) -> str:
     """A column name that doesn't clash with those of a caller's table."""
     return f"__{name}"

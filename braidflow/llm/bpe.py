@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import own, pieces, prepare
+from ._shared import own, pieces, prepare, take_memory
 
 #: Distinct words, and their tokens, that a worker remembers before it starts anew; words beyond LONG_WORD never are.
 MEMO_WORDS, MEMO_TOKENS, LONG_WORD = 1_500_000, 12_000_000, 200
@@ -337,6 +337,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("bpe", _HELD.clear)
         transducer, memo, surface = held(tokenizer)
         for whole in batches:
             for batch in pieces(whole, text):

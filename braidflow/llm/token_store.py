@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, text_or_empty
+from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, take_memory, text_or_empty
 from .bpe import MARKS, Memo
 
 MAGIC = b"EFTOK001"
@@ -194,6 +194,7 @@ def write_store(docs: DataFrame, tokenizer: str, store: str, end_id: int, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        take_memory("token_store", _memo.cache_clear)
         number, ends, keys, nulls, total, docs = TaskContext.get().partitionId(), [], [], 0, 0, 0
         batches = iter(batches)
         first = next((b for b in batches if b.num_rows), None)

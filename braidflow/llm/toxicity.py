@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc32_mod, own, pieces, prepare
+from ._shared import crc32_mod, own, pieces, prepare, take_memory
 
 #: Labelled texts of each class to fit on at most, entries of the lexicon at most, the log-likelihood ratio and the share of
 #: toxic texts that an entry needs, lengths of stems, and the score from which a text is taken as toxic.
@@ -315,6 +315,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("toxicity", _SCORERS.clear)
         scorer = _scorer(held.value)
         for whole in batches:
             for b in pieces(whole, text):
