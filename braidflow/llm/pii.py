@@ -58,7 +58,11 @@ def _any(*kinds: str) -> str:
 
 
 #: An entity starts a word. What it can be is told by its first character, so that most places cost one comparison.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[0-9+(])(?:{_any('ip', 'card', 'ssn', 'phone', 'mail', 'hex')})|(?=\p{{Lu}})(?:{_any('key', 'iban', 'person', 'mail', 'hex')})|(?=\p{{Ll}})(?:{_any('secret', 'mail', 'hex')})|(?=\p{{L}})(?:{_any('mail', 'person')}))"
+_STARTS = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[0-9+(])(?:{_any('ip', 'card', 'ssn', 'phone', 'mail', 'hex')})|(?=\p{{Lu}})(?:{_any('key', 'iban', 'person', 'mail', 'hex')})|(?=\p{{Ll}})(?:{_any('secret', 'mail', 'hex')})|(?=\p{{L}})(?:{_any('mail', 'person')}))"
+#: In a word: a secret's word ends longer ones (access_token); keys, IBANs and hexadecimal digits only mind ASCII letters and
+#: digits before them, numbers also other letters, names letters alone.
+_INSIDE = rf"(?=[apst])(?:{_any('secret')})|(?<=[\p{{L}}\p{{N}}_&&[^A-Za-z0-9]])(?:(?=[0-9+(])(?:(?<!\p{{L}})(?:{_any('ip', 'card', 'ssn', 'phone')})|{_any('hex')})|(?=[A-Z])(?:{_any('key', 'iban')})|(?=\p{{Lu}})(?<!\p{{L}})(?:{_any('person')})|(?=[A-Fa-f])(?:{_any('hex')})|(?=\p{{Ll}})(?<!\p{{L}})(?:{_any('person')}))|(?<=[0-9])(?=\p{{L}})(?:{_any('person')})"
+PATTERN = rf"(?:{_STARTS}|{_INSIDE})"
 
 
 def characters(s: Column) -> Column:
