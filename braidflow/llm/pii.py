@@ -3,13 +3,14 @@
 Entities are found by one pattern, and a text is rebuilt from what lies between them and their surrogates, so that no
 replacement meets another. A surrogate depends on the key, the entity's kind and its canonical form alone: the same
 address, number or person gets the same one in every document, in whatever case or grouping it is written. Characters
-are replaced within their class (digits, hexadecimal digits, upper and lower case of Latin, Greek and Cyrillic), all
-others stay; card numbers, which only a right check digit makes, keep their first digit and a right check digit, telephone numbers their country code, access keys their prefix,
+are replaced within their class (digits, hexadecimal digits, upper and lower case of Latin, Greek and Cyrillic; letters
+and digits of other scripts become Latin and ASCII ones), all others stay; card numbers, which only a right check digit makes, keep their first digit and a right check digit, telephone numbers their country code, access keys their prefix,
 addresses form valid quads, mail addresses their last label. A given name becomes one of the same gender and script, a
 form of address stays, a surname becomes letters of its own script.
 
 Surrogates must neither meet each other nor a real entity. The distinct entities are checked for that in rounds: of those
-that meet all but the smallest go on to their next attempt. Attempts other than the first are rare; they are a small map
+that meet all but the smallest go on to their next attempt. Later attempts compose a given name of several and make short
+forms longer, so that there are always more surrogates than real entities. Attempts other than the first are rare; they are a small map
 in the plan while they are few, and joined to the documents' entities beyond that.
 """
 
@@ -110,7 +111,9 @@ def replaced(c: Column, n: Column, hexadecimal: Column) -> Column:
     for letters, low, high in ((cyrillic, "Ѐ", "ӿ"), (greek, "Ͱ", "Ͽ"), (latin, "A", "ɏ")):
         here = (c >= low) & (c <= high) & c.rlike(r"^\p{L}$")
         out = out.when(here & (F.lower(c) == c), one_of(letters, n)).when(here, one_of(letters.upper(), n))
-    return out.otherwise(c)
+    # Of other scripts: no entity may be left as it is.
+    out = out.when(c.rlike(r"^\p{N}$"), one_of("0123456789", n)).when(c.rlike(r"^\p{Lu}$"), one_of(latin.upper(), n))
+    return out.when(c.rlike(r"^\p{L}$"), one_of(latin, n)).otherwise(c)
 
 
 def substituted(e: Column, h: Column, kept: Column, hexadecimal: Column) -> Column:
@@ -141,16 +144,25 @@ def last_digit(card: Column, digit: Column) -> Column:
     return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), digit.cast("string"))
 
 
-def person(e: Column, h: Column) -> Column:
-    """Title kept, given name of the same gender and script, surname of letters of its script."""
+def longer(attempt: Column) -> Column:
+    """By how many characters or names a surrogate is longer than its entity: forms of few characters have few surrogates."""
+    return F.floor(attempt / 4).cast("int")
+
+
+def person(e: Column, h: Column, attempt: Column) -> Column:
+    """Title kept, given name of the same gender and script, surname of letters of its script.
+
+    A listed name is the first attempt only, as all of them may be real; later ones are composed."""
     words = F.split(e, " ")
+    more = F.when(attempt > 0, longer(attempt) + 1).otherwise(0)
 
     def gendered(w: Column) -> Column:
         out = None
         for names in GIVEN.values():
-            pick = F.element_at(F.array(*map(F.lit, names)), (byte(h, F.lit(1)) % len(names)) + 1)
+            listed = F.array(*map(F.lit, names))
+            pick = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), more + 1), lambda i: F.element_at(listed, (byte(h, i) % len(names)) + 1)), ""))  # noqa: B023
             out = F.when(w.isin(*names), pick) if out is None else out.when(w.isin(*names), pick)
-        return out.otherwise(substituted(w, h, F.lit(0), F.lit(False)))
+        return out.otherwise(substituted(F.concat(w, F.repeat(F.right(w, F.lit(1)), longer(attempt))), h, F.lit(0), F.lit(False)))
 
     title = F.regexp_replace(words[0], r"\.$", "").isin(*[t for v in TITLES.values() for t in v])
     return F.array_join(F.transform(words, lambda w, i: F.when(title & (i == 0), w).otherwise(gendered(w))), " ")
@@ -162,25 +174,27 @@ def surrogates_of(entities: Column, attempt, key: str = KEY) -> Column:
     Each step adds a field, so that none is computed again for every character."""
     x = F.transform(entities, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
     x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), canonical(r["e"], r["kind"]).alias("canon")))
-    x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), keyed(key, r["kind"], r["canon"], attempt(r["kind"], r["canon"]).cast("string")).alias("h")))
-    return F.transform(x, lambda r: _made(r["e"], r["kind"], r["h"]))
+    x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), r["canon"].alias("canon"), attempt(r["kind"], r["canon"]).alias("attempt")))
+    x = F.transform(x, lambda r: F.struct(r["e"].alias("e"), r["kind"].alias("kind"), r["attempt"].alias("attempt"), keyed(key, r["kind"], r["canon"], r["attempt"].cast("string")).alias("h")))
+    return F.transform(x, lambda r: _made(r["e"], r["kind"], r["h"], r["attempt"]))
 
 
-def _made(e: Column, kind: Column, h: Column) -> Column:
+def _made(e: Column, kind: Column, h: Column, attempt: Column) -> Column:
+    more = F.repeat(F.lit("0"), longer(attempt))
     octets = [byte(h, F.lit(i)) for i in range(4)]
     ip = F.concat_ws(".", (octets[0] % 223 + 1).cast("string"), *[o.cast("string") for o in octets[1:3]], (octets[3] % 254 + 1).cast("string"))
     code = F.length(F.regexp_replace(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[^0-9])", 0), r"\+", ""))
     label = F.regexp_extract(e, r"\.\p{L}+$", 0)
     no = F.lit(False)
-    mail = F.concat(substituted(F.substr(e, F.lit(1), F.length(e) - F.length(label)), h, F.lit(0), no), label)
+    mail = F.concat(substituted(F.concat(more, F.substr(e, F.lit(1), F.length(e) - F.length(label))), h, F.lit(0), no), label)
     word = F.regexp_extract(e, rf"^(?:{_WORDS_OF_SECRETS})[\x20]?[=:][\x20]?[\"']?", 0)
-    value = F.substr(e, F.length(word) + 1, F.length(e))
+    value = F.concat(F.substr(e, F.length(word) + 1, F.length(e)), more)
     secret = F.concat(word, F.when(value.rlike("^[0-9a-f]+$"), substituted(value, h, F.lit(0), F.lit(True))).otherwise(substituted(value, h, F.lit(0), no)))
     plain = substituted(e, h, F.lit(1), no)
     new = F.regexp_replace(plain, r"[^0-9]", "")
     fixed = last_digit(plain, F.pmod(10 - luhn(last_digit(new, F.lit(0))), F.lit(10)))
-    out = F.when(kind == "none", e).when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", fixed).when(kind == "secret", secret).when(kind == "person", person(e, h))
-    out = out.when(kind == "phone", substituted(e, h, code, no)).when(kind == "hex", substituted(e, h, F.lit(0), F.lit(True)))
+    out = F.when(kind == "none", e).when(kind == "mail", mail).when(kind == "ip", ip).when(kind == "card", fixed).when(kind == "secret", secret).when(kind == "person", person(e, h, attempt))
+    out = out.when(kind == "phone", substituted(F.concat(e, more), h, code, no)).when(kind == "hex", substituted(e, h, F.lit(0), F.lit(True)))
     return out.when(kind == "key", substituted(e, h, F.lit(4), no)).when(kind == "iban", substituted(e, h, F.lit(2), no)).otherwise(substituted(e, h, F.lit(0), no))
 
 

@@ -69,3 +69,26 @@ def test_entities_inside_words(spark):
         value = t[-12:] if "_" not in t[-12:] else t[-4:]
         assert got[i] != f"the {t} there" and value not in got[i], t
     assert got[0].startswith("the access_token=") and got[4].startswith("the token_") and got[6].startswith("the id_AKIA")
+
+
+def test_all_listed_names(spark):
+    """Where every listed name is real, and where a name's script has no letters to replace, surrogates still exist."""
+    names = [(n, k) for k, v in pii.GIVEN.items() for n in v]
+    others = ["Mr Արամ", "名前@例え.jp"]
+    got = replaced(spark, [(i, t, "x") for i, t in enumerate([n for n, _ in names] + others)])
+    made = list(got.values())
+    assert len(set(made)) == len(made) == len(names) + 2
+    assert not set(made) & ({n for n, _ in names} | set(others))
+    for i, (_, (gender, script)) in enumerate(names):
+        assert any(got[i].startswith(x) for x in pii.GIVEN[gender, script])
+    assert got[len(names)].startswith("Mr ") and got[len(names) + 1].endswith(".jp")
+
+
+def test_short_forms_grow(spark):
+    """Of one-digit local parts and domains there are 100; as many real ones need longer surrogates."""
+    from pyspark.sql import functions as F
+
+    e = ["1@2.com", "+1 23 45", "Mr Li", "token=-------1"]
+    rows = spark.createDataFrame([(x, n) for x in e for n in (0, 8)], "e string, n int")
+    made = {(r["e"], r["n"]): r["m"] for r in rows.select("e", "n", pii.surrogates_of(F.array("e"), lambda kind, canon: F.col("n"))[0].alias("m")).collect()}
+    assert all(len(made[x, 0]) == len(x) and len(made[x, 8]) == len(x) + 2 for x in e)
