@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,8 +16,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to a Python worker at once. Texts can be long, so the usual 10,000 could be gigabytes.
-ARROW_ROWS = 1000
+#: Rows, and bytes, that Spark hands to a Python worker at once. Texts can be long, so the usual 10,000 could be gigabytes.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Bytes of UTF-8 text after which a Python operator hands its results on.
 CHUNK_BYTES = 4 << 20
 #: Words are runs of characters other than ASCII white space.
@@ -26,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and let executors that share the code's folder import the package."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -36,10 +39,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, prefix: str) -> str:
     """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, on one machine alone: elsewhere executors wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="braidflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -81,6 +86,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later step reads."""
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        system, folder = filesystem(path)
+        system.delete_dir(folder)
+
+
+def give_back() -> None:
+    """Hand memory that Python and Arrow have freed back to the system: a worker lives on beside those of later operators."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 _OWNER: dict = {"name": None, "clear": None}
 
 
@@ -88,6 +109,7 @@ def take_memory(name: str, clear: Callable[[], object]) -> None:
     """Called where an operator starts in a worker: what another one remembered there is let go, as workers live on."""
     if _OWNER["name"] not in (None, name):
         _OWNER["clear"]()
+        give_back()
     _OWNER.update(name=name, clear=clear)
 
 
