@@ -4,8 +4,9 @@ A store is a folder of shards and a manifest. A shard holds, in ascending order
 little-endian unsigned integers (two bytes each if the vocabulary allows, else four), then the ends of its documents and
 their doc_ids as Elias-Fano sequences, and a footer. Of n values below u a sequence keeps about 2 + log2(u / n) bits each:
 the low bits as they are, the high bits in unary, and the place of every 256th one, relative to the sequence and in 32
-bits. `select(i)` goes to the sample and counts on from there, so that no table of 64-bit offsets is needed. The manifest
-has each shard's first token, so that a document's global start is that plus a select.
+bits. `select(i)` goes to the sample and counts on from there, and `run(i, j)` gives the values from i on by reading the
+unary part once, so that no table of 64-bit offsets is needed. The manifest has each shard's first token, so that a document's
+global start is that plus a select. A shard holds about SHARD_BYTES of text, however large the corpus.
 """
 
 from __future__ import annotations
@@ -24,12 +25,19 @@ from pyspark.sql import functions as F
 
 from ._shared import ARROW_ROWS, filesystem, materialise, pieces, prepare, put_file, shared_dir, take_memory, text_or_empty
 from .bpe import MARKS, Memo
+from .bpe import held as transducer
 
 MAGIC = b"EFTOK001"
+#: Distinct words that a worker remembers before it starts anew (about 300 MB).
+MEMO_WORDS = 1_500_000
+#: Letters of a word from which the transducer encodes it.
+STREAMED = 1 << 16
 #: Ones between two samples of a select structure.
 EVERY = 256
-#: Ids read from a shard at once.
-READ_IDS = 1 << 20
+#: Ids read from a shard at once, values that are coded at once (a multiple of 8), and bytes of text for a shard.
+READ_IDS, CODED, SHARD_BYTES = 1 << 20, 1 << 15, 1 << 30
+#: Shards that one range partitioning makes at most, where an estimate of the size is far off.
+MOST_SHARDS = 200_000
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -48,12 +56,17 @@ class EliasFano:
         if np.any(values[1:] < values[:-1]):
             raise ValueError("values must not decrease")
         k = max(0, int((int(values[-1]) + 1) // n).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little")
-        ones = (values >> np.uint64(k)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(ones[-1]) + 1, np.uint8)
-        high[ones] = 1
-        return cls(n, k, low, np.packbits(high, bitorder="little"), ones[::EVERY].astype(np.uint32))
+        low = []
+        for at in range(0, n if k else 0, CODED):
+            bits = (values[at : at + CODED, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)
+            low.append(np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little"))
+        high = np.zeros((int(values[-1] >> np.uint64(k)) + n) // 8 + 1, np.uint8)
+        samples = np.zeros(-(-n // EVERY), np.uint32)
+        for at in range(0, n, CODED):
+            ones = (values[at : at + CODED] >> np.uint64(k)).astype(np.int64) + np.arange(at, min(at + CODED, n))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+            samples[at // EVERY : at // EVERY + len(ones[::EVERY])] = ones[::EVERY]
+        return cls(n, k, np.concatenate(low) if low else np.zeros(0, np.uint8), high, samples)
 
     def _low(self, i: int) -> int:
         at = i * self.low_bits
@@ -78,14 +91,23 @@ class EliasFano:
         bit = [b for b in range(8) if int(self.high[byte + k]) >> b & 1][left]
         return (((byte + k) * 8 + bit - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def run(self, i: int, j: int) -> np.ndarray:
+        """The values from the i-th to before the j-th: a select of the first, then as much of the unary part as they take."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
             return np.zeros(0, np.int64)
-        ones = np.nonzero(np.unpackbits(self.high, bitorder="little"))[0][: self.n].astype(np.int64)
-        out = (ones - np.arange(self.n)) << self.low_bits
+        first = int(self.samples[i // EVERY])
+        last = int(self.samples[-(-j // EVERY)]) if -(-j // EVERY) < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[first // 8 : last // 8 + 1], bitorder="little")
+        bits[: first % 8] = 0
+        skip = i % EVERY
+        ones = np.flatnonzero(bits)[skip : skip + j - i] + first // 8 * 8
+        out = (ones - np.arange(i, j)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+            at = i * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : (j * self.low_bits + 7) // 8], bitorder="little")[at % 8 :]
+            out |= bits[: (j - i) * self.low_bits].reshape(j - i, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return out
 
     def to_bytes(self) -> bytes:
@@ -130,8 +152,10 @@ class Shard:
         self.file.seek(start * self.width)
         return np.frombuffer(self.file.read((end - start) * self.width), f"<u{self.width}").astype("<u4")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.docs.all() + self.base).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Those of the documents from the i-th to before the j-th; null ones come first."""
+        known = self.docs.run(max(i - self.nulls, 0), max(j - self.nulls, 0)) + self.base
+        return [None] * (j - i - len(known)) + known.tolist()
 
     def close(self) -> None:
         self.file.close()
@@ -154,7 +178,32 @@ def _memo(path: str) -> Memo:
     library = _library(path)
     one = lambda w: library.encode(w, add_special_tokens=False).ids
     folds = all(one("Abcé" + m) == one("abcé") + one(m) for m in sorted(MARKS)) and one("Abcé") == one("abcé")
-    return Memo(lambda words: (e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)), folds)
+
+    suffix = json.loads(library.to_str())["model"].get("end_of_word_suffix")
+    last = np.array([bool(suffix) and (library.id_to_token(i) or "").endswith(suffix) for i in range(library.get_vocab_size() + 1)])
+
+    def encode(words: list[str]) -> Iterator[list[int]]:
+        out: list[list[int] | None] = [None] * len(words)
+        # A word of Latin letters is one pre-token: many go to the library as one text, and their last tokens part its ids.
+        plain = [i for i, w in enumerate(words) if len(w) <= 100 and w.isalpha() and (w.isascii() or max(w) < "\u0250")]
+        for at in range(0, len(plain) if suffix else 0, 10_000):
+            some = plain[at : at + 10_000]
+            ids = library.encode_batch_fast([" ".join([words[i] for i in some])], add_special_tokens=False)[0].ids
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                for i, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                    out[i] = ids[a:b]
+        # Words of many thousand letters would take the library memory by their length: they are streamed.
+        rest = [i for i, x in enumerate(out) if x is None]
+        short = [i for i in rest if len(words[i]) <= STREAMED]
+        for i, e in zip(short, library.encode_batch_fast([words[i] for i in short], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        for i in rest:
+            if len(words[i]) > STREAMED:
+                out[i] = [*transducer(path)[0].stream(words[i])]
+        return iter(out)
+
+    return Memo(encode, folds, MEMO_WORDS)
 
 
 def library_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +235,11 @@ def write_store(docs: DataFrame, tokenizer: str, store: str, end_id: int, text:
     shuffled, by ranges of doc_id, so that a shard is one task's rows and a lost executor costs only its own shards.
     """
     spark = prepare(docs.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    # Catalyst's estimate: the size of the files, or a number beyond all sizes if it knows none.
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards = -(-size // SHARD_BYTES) if size < 1 << 60 else 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, MOST_SHARDS))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     width = 2 if max(_library(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
@@ -258,16 +310,16 @@ def read_store(spark: SparkSession, store: str, ids: bool = True) -> DataFrame:
         for batch in batches:
             for number, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = Shard(shard_uri(store, number))
-                ends, keys = shard.ends.all(), shard.doc_ids()
-                i = 0
+                i, first = 0, 0
                 while i < shard.n_docs:
-                    first = int(ends[i - 1]) if i else 0
-                    j = min(max(i + 1, int(np.searchsorted(ends, first + READ_IDS, side="right"))), i + ARROW_ROWS)
-                    block = shard.read(first, int(ends[j - 1]))
-                    edges = np.concatenate([[first], ends[i:j]]) - first
+                    ends = shard.ends.run(i, min(i + ARROW_ROWS, shard.n_docs))
+                    ends = ends[: max(1, int(np.searchsorted(ends, first + READ_IDS, side="right")))]
+                    j = i + len(ends)
+                    block = shard.read(first, int(ends[-1]))
+                    edges = np.concatenate([[first], ends]) - first
                     view = memoryview(block).cast("B")
                     out = {
-                        "doc_id": pa.array(keys[i:j], pa.int64()),
+                        "doc_id": pa.array(shard.doc_ids(i, j), pa.int64()),
                         "start": pa.array(edges[:-1] + first + start, pa.int64()),
                         "n_tokens": pa.array(np.diff(edges), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.int64()),
@@ -275,14 +327,18 @@ def read_store(spark: SparkSession, store: str, ids: bool = True) -> DataFrame:
                     if ids:
                         out["ids"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(block.astype(np.int64)))
                     yield pa.RecordBatch.from_pydict(out)
-                    i = j
+                    i, first = j, int(ends[-1])
                 shard.close()
 
     return shards.mapInArrow(run, schema)
 
 
 def store_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write a store of docs in the shared folder and read it back: doc_id, start, n_tokens, ids_crc32."""
+    """Write a store of docs in the shared folder and read it back: doc_id, start, n_tokens, ids_crc32.
+
+    Rows are those of docs in ascending order of doc_id, null ones first, rows of one doc_id by their text; a null or empty
+    text has the end id alone; an empty table gives an empty one; other columns are ignored.
+    """
     spark = docs.sparkSession
     store = shared_dir(spark, "token-store")
     write_store(docs, tokenizer, store, end_id)

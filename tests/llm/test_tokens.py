@@ -36,11 +36,12 @@ def random_texts(n):
 
 
 def test_transducer_equals_library(library):
-    machine, _, _ = bpe.held(PATH)
+    machine, _, decoder = bpe.held(PATH)
     for text in random_texts(150):
         ids = library.encode(text, add_special_tokens=False).ids
         assert bpe.encode_text(text, PATH).tolist() == ids
-        assert "".join(machine.decode(ids)) == library.decode(ids, skip_special_tokens=False)
+        assert list(machine.stream(text)) == list(machine.stream(text, 7)) == ids
+        assert decoder.text(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
         assert token_store.library_ids(pa.array([text]), PATH)[0].tolist() == ids
 
 
@@ -84,17 +85,66 @@ def test_lookahead_is_sufficient_on_a_small_list():
         bpe.sufficient_lookahead([("ab", "c"), ("a", "b")])
 
 
-def test_byte_level_decoding_is_incremental():
-    machine, _, _ = bpe.held(public_tokenizers.path("byte_bpe_50k.json"))
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = library.encode("naïve 中文 text", add_special_tokens=False).ids
-    assert "".join(machine.decode(ids)) == "naïve 中文 text"
-
-
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 3], list(range(0, 10**6, 997)), [2**40, 2**41]])
-def test_elias_fano(values):
+@pytest.mark.parametrize("text", ["a" * 150_000, "Zé" * 90_000, "中文字" * 60_000, "!-" * 90_000 + "'s", "don't" * 40_000, "ab1" * 50_000, "İ" * 40_000 + "x" * 40_000, "e\u0301" * 50_000, "x<|endoftext|>" * 12_000, "각" * 30_000])
+def test_long_runs_are_streamed(library, text):
+    """Texts without white space beyond a block: the same ids, whatever the place of the cuts."""
+    machine, _, _ = bpe.held(PATH)
+    assert list(machine.stream(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_tokens_own_lookahead_is_sufficient():
+    """Each token that a window settles stays, whatever follows."""
+    rng = random.Random(3)
+    for _ in range(40):
+        tokens, merges = ["a", "b", "c"], []
+        while len(merges) < 12:
+            x, y = rng.choice(tokens), rng.choice(tokens)
+            if x + y not in tokens and len(x + y) < 12:
+                tokens.append(x + y)
+                merges.append((x, y))
+        need, rank = bpe.lookaheads(merges), {m: i for i, m in enumerate(merges)}
+
+        def merge(s, rank=rank):
+            s = list(s)
+            while best := min(((rank[p], i) for i, p in enumerate(zip(s, s[1:], strict=False)) if p in rank), default=None):
+                s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
+            return s
+
+        for _ in range(60):
+            head = "".join(rng.choice("abc") for _ in range(30))
+            settled, done = [], 0
+            for t in merge(head):
+                if len(head) - done - len(t) < need.get(t, 0):
+                    break
+                settled.append(t)
+                done += len(t)
+            for _ in range(5):
+                assert merge(head + "".join(rng.choice("abc") for _ in range(9)))[: len(settled)] == settled
+
+
+def test_byte_level_decoding_is_incremental(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, decoder = Tokenizer.from_file(path), bpe.held(path)[2]
+    text = "naïve 中文 text 🙂 " * 9
+    ids = np.array(library.encode(text, add_special_tokens=False).ids)
+    for size in (1, 2, 3, 1 << 16):
+        monkeypatch.setattr(bpe, "DECODED", size)
+        assert decoder.text(ids) == text
+    one = [decoder.bytes_of(ids[i : i + 1])[0] for i in range(len(ids))]
+    assert "".join(decoder.run(one)) == text
+    # Half a character at the end, and ids that no token has.
+    assert decoder.text(ids[:2]) == library.decode(ids[:2].tolist()) and decoder.text(np.array([10**6, 15])) == library.decode([15])
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 3], list(range(0, 10**6, 997)), [2**40, 2**41], [7] * 3000 + list(range(8, 900_000, 131))])
+def test_elias_fano(values, monkeypatch):
+    monkeypatch.setattr(token_store, "CODED", 512)
     ef = token_store.EliasFano.from_bytes(token_store.EliasFano.of(np.array(values, np.int64)).to_bytes())
-    assert ef.all().tolist() == values
+    rng = random.Random(1)
+    for i, j in [(0, len(values))] + [tuple(sorted((rng.randint(0, len(values)), rng.randint(0, len(values))))) for _ in range(40)]:
+        assert ef.run(i, j).tolist() == values[i:j]
+    with pytest.raises(IndexError):
+        ef.run(0, len(values) + 1)
     assert [ef.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         ef.select(len(values))
