@@ -27,6 +27,8 @@ from ._shared import filesystem, materialise, prepare, put_file, shared_dir
 
 #: Payloads below so many bytes are never revisits. The date is a parameter, so that tasks that run again write the same.
 LEAST_BYTES, DATE, LEVEL = 1000, "2024-01-01T00:00:00Z", 3
+#: Records of one payload from which their places are found without dealing them by digest, and such payloads at most.
+MANY, MOST_MANY = 10_000, 500_000
 CHUNK = 1 << 18
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 META = "archive int, seq long, page_id long, payload_bytes long, payload_digest string"
@@ -200,10 +202,19 @@ def revisits_of(meta: DataFrame, least_bytes: int) -> DataFrame:
     """(archive, seq, to_archive, to_seq, refers_to) of records whose payload, of least_bytes or more, a record of a larger
     page_id has; of records that share that page_id too the last one written is kept."""
     place = F.struct("page_id", "archive", "seq")
-    groups = meta.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(place).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    rows = meta.filter(F.col("payload_bytes") >= least_bytes).join(groups, "payload_digest")
-    rows = rows.filter((F.col("archive") != F.col("kept.archive")) | (F.col("seq") != F.col("kept.seq")))
-    return rows.select("archive", "seq", F.col("kept.archive").alias("to_archive"), F.col("kept.seq").alias("to_seq"), F.col("kept.page_id").alias("refers_to"))
+    rows = meta.filter(F.col("payload_bytes") >= least_bytes).withColumnRenamed("payload_digest", "d")
+    groups = rows.groupBy("d").agg(F.max(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("d", "digest")
+    groups = materialise(groups, "warc-groups")
+    same = F.col("d") == F.col("digest")
+    # Of payloads with many records there are few: one in MANY records at most.
+    many = groups.filter(F.col("n") >= MANY)
+    if 0 < many.count() <= MOST_MANY:
+        few = rows.join(F.broadcast(many), same, "left_anti").join(groups.filter(F.col("n") < MANY), same)
+        found = rows.join(F.broadcast(many), same).unionByName(few)
+    else:
+        found = rows.join(groups, same)
+    found = found.filter((F.col("archive") != F.col("kept.archive")) | (F.col("seq") != F.col("kept.seq")))
+    return found.select("archive", "seq", F.col("kept.archive").alias("to_archive"), F.col("kept.seq").alias("to_seq"), F.col("kept.page_id").alias("refers_to"))
 
 
 def normalise_all(spark: SparkSession, source: str, target: str, meta: DataFrame, revisits: DataFrame) -> DataFrame:
@@ -216,10 +227,12 @@ def normalise_all(spark: SparkSession, source: str, target: str, meta: DataFrame
             out.append((number, normalise(archive_uri(source, number), archive_uri(target, number), rows)))
         return pd.DataFrame(out, columns=["archive", "records"]).astype({"archive": "int32", "records": "int64"})
 
-    archives = meta.select(F.col("archive").alias("number")).distinct()
+    archives = materialise(meta.select(F.col("archive").alias("number")).distinct(), "warc-numbers")
+    # Dealt by count: their rows are few, but each stands for an archive to inflate.
+    parts = max(1, 2 * archives.count())
     # Page numbers would lose digits as floating point: they travel as text.
     revisits = revisits.withColumn("refers_to", F.col("refers_to").cast("string"))
-    done = archives.groupBy("number").cogroup(revisits.groupBy("archive")).applyInPandas(partial(run, source=source, target=target), "archive int, records long")
+    done = archives.repartition(parts, "number").groupBy("number").cogroup(revisits.repartition(parts, "archive").groupBy("archive")).applyInPandas(partial(run, source=source, target=target), "archive int, records long")
     return materialise(done, "warc-archives")
 
 
