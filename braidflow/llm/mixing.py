@@ -43,14 +43,12 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, sh
     ordered = totals.repartitionByRange(parts, F.col(s).asc_nulls_last()).sortWithinPartitions(F.col(s).asc_nulls_last())
     ordered = materialise(ordered.withColumn(own("at"), F.monotonically_increasing_id()), "mix-sources")
     part = F.shiftright(own("at"), 33)
-    counts = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum(n).alias("size"), F.sum(F.coalesce(F.octet_length(s), F.lit(0)) + 40).alias("bytes")).orderBy("p").collect()  # a row for each partition
-    first, before = 0, {}
-    for r in counts:
-        before[r["p"]] = first
-        first += r["n"]
-    words, stored = sum(r["size"] for r in counts), sum(r["bytes"] for r in counts)
-    start = F.coalesce(*[F.when(part == p, F.lit(k)) for p, k in before.items()]) if before else F.lit(0)
-    rank = start + (F.col(own("at")) % F.lit(1 << 33))
+    counts = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum(n).alias("size"), F.sum(F.coalesce(F.octet_length(s), F.lit(0)) + 40).alias("bytes"))
+    words, stored = counts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # A row for each partition.
+    starts = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias(own("first")))
+    ordered = ordered.join(F.broadcast(starts), part == F.col("p"))
+    rank = F.col(own("first")) + (F.col(own("at")) % F.lit(1 << 33))
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
     ordered = ordered.select(s, n, weight.alias(w))
     cap = F.col(n) * max_epochs
@@ -106,7 +104,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document; texts are read once, the rest works on sizes."""
+    """doc_id, size, source_size, target and taken of every document; texts are read once, the rest works on sizes.
+
+    A null or empty text has the size 0 and nothing taken; a null source is a source of its own, the last; rows that repeat
+    a doc_id each count, in order of size; an empty table gives an empty one; other columns are ignored.
+    """
     narrow = materialise(docs.select("doc_id", "source", word_count().alias("words")), "mix-sizes")
     out = mix(narrow, size="words")
     return out.select("doc_id", *(F.col(own(c)).alias(c) for c in ("size", "source_size", "target", "taken")))
