@@ -35,12 +35,16 @@ def test_exact_top_k(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_many_chunks_give_the_same(spark, monkeypatch):
+def test_many_blocks_give_the_same(spark, monkeypatch):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA)
-    one = sorted(map(tuple, search.exact_top_k(df, every=20).collect()))
-    monkeypatch.setattr(search, "CHUNK_BYTES", 300)
-    assert sorted(map(tuple, search.exact_top_k(df, every=20).collect())) == one
+    for f in (search.exact_top_k, search.nearest_neighbours):
+        one = sorted(map(tuple, f(df, every=20).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(search, "QUERY_ROWS", 3)
+            m.setattr(search, "FILE_ROWS", 30)
+            m.setattr(search, "MOST_PARTITIONS", 5)
+            assert sorted(map(tuple, f(df, every=20).collect())) == one
 
 
 def test_neighbours_are_exact_when_all_cells_are_visited(spark, monkeypatch):
@@ -78,10 +82,21 @@ def test_empty_and_few(spark):
         assert len(f(spark.createDataFrame([(0, [1.0, 2.0], "x", "x"), (1, [2.0, 1.0], "x", "x")], SCHEMA)).collect()) == 1
 
 
-def test_multi_sequence_is_in_order():
+def test_many_copies_of_one_vector(spark):
+    """A third of the rows in one cell: all of them can be found, ties go to the smaller ids."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:600] = x[300]
+    got = search.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    for q in (350, 400, 550):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [300, 301, 302, 303, 304]
+
+
+def test_multi_sequence_stops_where_enough_is_held():
+    """The last sum is that of the cell with which, by ascending sum, the wanted number of entries is reached."""
     rng = np.random.default_rng(1)
-    a, b = rng.random(7), rng.random(9)
-    cells = search.multi_sequence(a, b, [1] * 63, 63)
-    sums = [a[c // 9] + b[c % 9] for c in cells]
-    assert len(set(cells)) == 63 and sums == sorted(sums)
-    assert len(search.multi_sequence(a, b, [1] * 63, 10)) == 10
+    a, b, counts = rng.random(7), rng.random(9), rng.integers(0, 4, 63).tolist()
+    order = sorted((a[i] + b[j], counts[i * 9 + j]) for i in range(7) for j in range(9))
+    for want in range(1, sum(counts) + 1):
+        held = np.cumsum([c for _, c in order])
+        assert search.multi_sequence(a, b, counts, want) == order[int(np.searchsorted(held, want))][0]
