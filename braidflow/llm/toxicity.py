@@ -2,7 +2,7 @@
 
 The lexicon holds whole words and word beginnings (stems with varying endings) that mark the fitting texts labelled toxic.
 A word is looked up by running its Levenshtein automaton along the lexicon's trie: branches on which the automaton has no
-state left are cut. Every hit weighs what it was worth in the fitting texts, exact and misspelled ones apart, and its window of
+state left are cut, and at a stem's end any ending is accepted. Every hit weighs what it was worth in the fitting texts, exact and misspelled ones apart, and its window of
 neighbouring words changes that: quotation marks and words of reporting lower it, a direct address raises it. The hits
 of a text are joined as independent pieces of evidence.
 """
@@ -22,20 +22,21 @@ from pyspark.sql import types as T
 
 from ._shared import crc32_mod, own, pieces, prepare, take_memory
 
-#: Labelled texts of each class to fit on at most, entries of the lexicon at most, the log-likelihood ratio and the share of
-#: toxic texts that an entry needs, lengths of stems, and the score from which a text is taken as toxic.
-FIT_ROWS, ENTRIES, LEAST_RATIO, LEAST_SHARE, STEMS, THRESHOLD = 4000, 500, 12.0, 0.985, (4, 5, 6, 7), 0.3
+#: Labelled texts of each class to fit on at most, the log-likelihood ratio and the share of toxic texts that an entry needs,
+#: lengths of stems, and the score from which a text is taken as toxic.
+FIT_ROWS, LEAST_RATIO, LEAST_SHARE, STEMS, THRESHOLD = 4000, 12.0, 0.985, (4, 5, 6, 7), 0.3
+#: What a misspelled hit is worth, as a share of an exact one, until the fitting texts tell: of longer entries and of others.
+GUESS, SHORT_GUESS = 0.5, 0.25
 #: Different words before an entry in the toxic fitting texts, at least.
 LEAST_CONTEXTS = 5
 #: In few texts: an entry that stood after so many different words, and so many times its texts, and in no other text, needs
 #: only this share.
 MANY_CONTEXTS, CONTEXTS_A_TEXT, RARE_SHARE = 8, 2.5, 0.95
-#: Words on either side of a hit that make its context.
-WINDOW = 4
-#: Distinct words that a worker remembers.
-MEMO = 1_000_000
-SLICE = 1 << 20
-_WORD = re.compile(r"[^\W_]+")
+#: Words on either side of a hit that make its context, and the characters among which they are looked for.
+WINDOW, REACH = 4, 1024
+#: Distinct words that a worker remembers, features that one counts before it hands them on, and characters scored at once.
+MEMO, COUNTED, SLICE = 250_000, 500_000, 1 << 20
+_WORD, _BREAK = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 # Words of reporting and of direct address in the four languages, and quotation marks.
 REPORTING = frozenset("said says called calls wrote quoted quote sagte nannte schrieb dijo llamó escribió dit appelé écrit".split())
 ADDRESS = frozenset("you your yourself du dich dein ihr tu te vous toi votre usted tú".split())
@@ -75,63 +76,99 @@ class Automaton:
         return min((e for i, e in state if i == len(self.word)), default=None)
 
 
+def _lacking(words: list[str]) -> set[str]:
+    """The words, and what is left of each without one of its characters."""
+    return {x for w in words for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
+
+
 class Lexicon:
-    """Whole words with their weights, exact and misspelled, and stems with theirs."""
+    """Whole words and stems with their weights, exact and misspelled."""
 
-    def __init__(self, words: dict[str, tuple[float, float]], stems: dict[str, float], base: float = 0.0) -> None:
+    def __init__(self, words: dict[str, tuple[float, float]], stems: dict[str, tuple[float, float]], base: float = 0.0) -> None:
         self.words, self.stems, self.base = words, stems, base
-        self.trie: dict = {}
-        for w in words:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
         self.lengths = sorted({len(s) for s in stems})
+        self.trie: dict = {}
+        for end, entries in (("", words), ("*", stems)):
+            for w in entries:
+                if self.errors(w):
+                    node = self.trie
+                    for c in w:
+                        node = node.setdefault(c, {})
+                    node[end * 2] = w  # longer than a character, or empty
         # A word at distance 1 keeps the first or the last half of the entry whole: only then is the automaton run.
-        fuzzy = [w for w in words if self.errors(w)]
-        self.heads = {w[: len(w) // 2] for w in fuzzy}
+        fuzzy, stems_ = [w for w in words if self.errors(w)], [w for w in stems if self.errors(w)]
+        self.heads = {w[: len(w) // 2] for w in (*fuzzy, *stems_)}
         self.tails = {w[len(w) // 2 :] for w in fuzzy}
+        self.inner = {(len(w) // 2, w[len(w) // 2 :]) for w in stems_}
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.places = sorted({(at + d, at, len(t)) for at, t in self.inner for d in (-1, 0, 1)})
         self.sizes = {len(w) + d for w in fuzzy for d in (-1, 0, 1)}
+        # At distance 1 the two are equal once each has lost a character or none.
+        self.lacking, self.lacking_stems = _lacking(fuzzy), _lacking(stems_)
+        self.prefixes = sorted({len(w) + d for w in stems_ for d in (-1, 0, 1)})
+        self.least = min((len(w) - 1 for w in stems_), default=1 << 30)
 
     @staticmethod
     def errors(entry: str) -> int:
-        """Misspellings are looked for in entries of five characters or more, at one edit."""
-        return int(len(entry) >= 5)
+        """Misspellings are looked for at one edit, in entries of which that leaves three characters."""
+        return int(len(entry) >= 4)
 
-    def misspelled(self, word: str) -> str | None:
-        """The entry at the least distance from 1 on, ties by the trie's order; an exact one is found otherwise."""
+    def misspelled(self, word: str) -> tuple[str, int] | None:
+        """The entry at distance 1, words before stems, ties by code point; an exact one is found otherwise."""
         machine = Automaton(word, 1)
         best, todo = None, [(self.trie, machine.start())]
         while todo:
             node, state = todo.pop()
             for c, below in node.items():
                 if c == "":
-                    e = machine.accepted(state)
-                    if e is not None and self.errors(below) >= e and (best is None or (e, below) < best):
-                        best = (e, below)
+                    if machine.accepted(state) is not None and (best is None or (0, below) < best):
+                        best = (0, below)
+                elif c == "**":
+                    if best is None or (1, below) < best:
+                        best = (1, below)
                 elif after := machine.step(state, c):
                     todo.append((below, after))
-        return best[1] if best else None
+        return (best[1], 1 + 2 * best[0]) if best else None
 
     def look_up(self, word: str) -> tuple[str, int]:
-        """The entry that a lower-cased word hits, or "", and its kind: 0 exact, 1 misspelled, 2 stem."""
+        """The entry that a lower-cased word hits, or "", and its kind: 0 exact, 1 misspelled, 2 stem, 3 misspelled stem."""
         if word in self.words:
             return word, 0
         n = len(word)
         for k in self.lengths:
             if n >= k and word[:k] in self.stems:
                 return word[:k], 2
-        if n in self.sizes and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
-            if found := self.misspelled(word):
-                return found, 1
+        if self._halves(word, n) and self.plausible(word) and (found := self.misspelled(word)):
+            return found
         return "", 0
 
+    def _halves(self, word: str, n: int) -> bool:
+        """Whether the word keeps a half of an entry where one edit can leave it."""
+        whole, stem = n in self.sizes, n >= self.least
+        if whole or stem:
+            for k in self.head_sizes:
+                if word[:k] in self.heads:
+                    return True
+        if whole:
+            for k in self.tail_sizes:
+                if word[-k:] in self.tails:
+                    return True
+        if stem:
+            for at, half, k in self.places:
+                if at >= 0 and (half, word[at : at + k]) in self.inner:
+                    return True
+        return False
+
+    def plausible(self, word: str) -> bool:
+        if len(word) in self.sizes and not _lacking([word]).isdisjoint(self.lacking):
+            return True
+        return any(not _lacking([word[:k]]).isdisjoint(self.lacking_stems) for k in self.prefixes if k <= len(word))
+
     def weight(self, word: str) -> float:
         entry, kind = self.look_up(word)
         if not entry:
             return 0.0
-        return self.stems[entry] if kind == 2 else self.words[entry][kind]
+        return (self.stems if kind >= 2 else self.words)[entry][kind % 2]
 
 
 class Scorer:
@@ -141,37 +178,42 @@ class Scorer:
     def hits(self, text: str) -> Iterator[float]:
         """What each hit is worth in its context."""
         memo, weight = self.memo, self.lexicon.weight
-        for at in range(0, len(text), SLICE):
-            part = text[at : at + SLICE]
-            words = _WORD.findall(part.lower())
+        text = text.replace("İ", "I")  # whose lower case alone is longer
+        start = 0
+        while start < len(text):
+            m = _BREAK.search(text, start + SLICE) if start + SLICE < len(text) else None
+            end = m.start() if m else len(text)
+            low = text[start:end].lower()
+            words = _WORD.findall(low)
             if len(memo) > MEMO:
                 memo.clear()
             for w in words:
                 if w not in memo:
                     memo[w] = weight(w)
-            values = [memo[w] for w in words]
-            if not any(values):
-                continue
-            spans = [m.span() for m in _WORD.finditer(part)]
-            if len(spans) != len(words):  # lower-casing can change how a text splits
-                spans = []
-            for i, v in enumerate(values):
-                if v:
-                    yield v * self.context(words, part, spans, i)
+            if any(map(memo.__getitem__, words)):
+                for m in _WORD.finditer(low):
+                    if v := memo[m[0]]:
+                        yield v * self.context(text, start + m.start(), start + m.end())
+            start = end
 
     @staticmethod
-    def context(words: list[str], text: str, spans: list[tuple[int, int]], i: int) -> float:
+    def context(text: str, start: int, end: int) -> float:
         """Below 1 for quotation: marks around the hit within the window, or a word of reporting before it."""
-        near = words[max(0, i - WINDOW) : i + WINDOW + 1]
+        for reach in (REACH // 8, REACH):
+            before, after = text[max(0, start - reach) : start], text[end : end + reach]
+            left, right = [*_WORD.finditer(before)], [*_WORD.finditer(after)]
+            if (len(left) > WINDOW or len(before) < reach) and (len(right) > WINDOW or len(after) < reach):
+                break
+        left, right = left[-WINDOW:], right[:WINDOW]
+        words = [m[0].lower() for m in left]
         factor = 1.0
-        if spans:
-            before = text[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-            after = text[spans[i][1] : spans[min(len(spans) - 1, i + WINDOW)][1]]
-            if any(c in QUOTES for c in before) and any(c in QUOTES for c in after):
-                factor *= 0.4
-        if any(w in REPORTING for w in words[max(0, i - WINDOW) : i]):
+        marks_before = before[left[0].start() if len(left) == WINDOW else 0 :]
+        marks_after = after[: right[-1].end() if len(right) == WINDOW else len(after)]
+        if any(c in QUOTES for c in marks_before) and any(c in QUOTES for c in marks_after):
+            factor *= 0.4
+        if any(w in REPORTING for w in words):
             factor *= 0.6
-        if any(w in ADDRESS for w in near):
+        if any(w in ADDRESS for w in (*words, *(m[0].lower() for m in right))):
             factor = min(1.0, factor * 1.5)
         return factor
 
@@ -221,11 +263,9 @@ def choose(found: dict[str, tuple[int, int, int]], n: int, m: int) -> Lexicon:
             good.append((r, k, a, b))
     whole = {k[:-1]: (a, b) for _, k, a, b in good if k.endswith(" ")}
     words: dict[str, tuple[float, float]] = {}
-    stems: dict[str, float] = {}
+    stems: dict[str, tuple[float, float]] = {}
     good.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     for _, k, a, b in good:
-        if len(words) + len(stems) >= ENTRIES:
-            break
         name = k.rstrip(" ")
         if any(name[:i] in stems or name[:i] in words for i in range(4, len(name) + 1)) or any(s.startswith(name) for s in (*stems, *words)):
             continue
@@ -233,10 +273,8 @@ def choose(found: dict[str, tuple[int, int, int]], n: int, m: int) -> Lexicon:
             top = max(((x[0], w) for w, x in whole.items() if w.startswith(name)), default=(0, ""))
             if top[0] >= 0.8 * a:  # one word makes the stem
                 k, name, (a, b) = top[1] + " ", top[1], whole[top[1]]
-        if k.endswith(" "):
-            words[name] = (share(a, b), 0.5 * share(a, b))
-        else:
-            stems[name] = share(a, b)
+        guess = (GUESS if len(name) >= (5 if k.endswith(" ") else 6) else SHORT_GUESS) * share(a, b)
+        (words if k.endswith(" ") else stems)[name] = (share(a, b), guess)
     return Lexicon(words, stems)
 
 
@@ -256,35 +294,41 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     if not n or not m:
         return Lexicon({}, {})
 
-    def count(wanted: frozenset[str] | None):
+    def count(toxic: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, list[int]] = {}
+
+            def part() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_pydict({"feature": [*seen], "n": [v[0] for v in seen.values()], "bits": [v[1] - (v[1] >> 63 << 64) for v in seen.values()]}, schema=pa.schema([("feature", pa.string()), ("n", pa.int64()), ("bits", pa.int64())]))
+                seen.clear()
+                return out
+
             for b in batches:
                 for t in b.column("text").to_pylist():
                     for k, bits in features(t).items():
-                        if wanted is None or k in wanted:
-                            if k in seen:
-                                seen[k][0] += 1
-                                seen[k][1] |= bits
-                            else:
-                                seen[k] = [1, bits]
-            items = list(seen.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"feature": [k for k, _ in part], "n": [v[0] for _, v in part], "bits": [v[1] - (v[1] >> 63 << 64) for _, v in part]})
-
-        return read.filter("toxic" if wanted is None else "NOT toxic").mapInArrow(run, "feature string, n long, bits long").groupBy("feature").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("contexts"))
+                        if k in seen:
+                            seen[k][0] += 1
+                            seen[k][1] |= bits
+                        else:
+                            seen[k] = [1, bits]
+                    if len(seen) > COUNTED:
+                        yield part()
+            yield part()
+
+        return read.filter("toxic" if toxic else "NOT toxic").mapInArrow(run, "feature string, n long, bits long").groupBy("feature").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("contexts"))
 
     # Copies of one text all have the same words: an entry must have stood after different words.
-    toxic = count(None).filter((F.col("n") >= max(3, int(0.002 * n))) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= 0.4 * F.least("n", F.lit(50))))
-    counts = {r["feature"]: (r["n"], r["contexts"]) for r in toxic.collect()}  # features of a bounded number of texts
-    others = {r["feature"]: r["n"] for r in count(frozenset(counts)).collect()}
-    return weigh_misspellings(choose({k: (a, others.get(k, 0), c) for k, (a, c) in counts.items()}, n, m), read, n, m)
+    toxic = count(True).filter((F.col("n") >= max(3, int(0.002 * n))) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= 0.4 * F.least("n", F.lit(50))))
+    others = count(False).select(F.col("feature").alias("f"), F.col("n").alias("b"))
+    both = toxic.join(others, F.col("feature") == F.col("f"), "left").select("feature", F.col("n").alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "contexts")
+    # What alone can be chosen comes to the driver: features that mark toxic texts.
+    marks = both.filter(F.col("a") / n >= RARE_SHARE / (1 - RARE_SHARE) * (F.col("b") + 0.5) / m).collect()
+    return weigh_misspellings(choose({r["feature"]: (r["a"], r["b"], r["contexts"]) for r in marks}, n, m), read, n, m)
 
 
 def weigh_misspellings(lexicon: Lexicon, read: DataFrame, n: int, m: int) -> Lexicon:
-    """The lexicon with what misspelled hits are worth for each entry among the fitting texts; none, if never seen, is half
-    of the exact worth."""
+    """The lexicon with what misspelled hits are worth for each entry among the fitting texts; what was never seen keeps the
+    guess."""
     held = read.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,18 +336,20 @@ def weigh_misspellings(lexicon: Lexicon, read: DataFrame, n: int, m: int) -> Lex
         for b in batches:
             for t, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 found = {lexicon.look_up(w) for w in set(_WORD.findall(t.lower()))}
-                seen.update((entry, toxic) for entry, kind in found if kind == 1)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["entry", "toxic", "n"])
-
-    rows = read.mapInArrow(run, "entry string, toxic boolean, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n")).collect()  # entries at most
-    seen = {(r["entry"], r["toxic"]): r["n"] for r in rows}
-    for w, (exact, guess) in lexicon.words.items():
-        a, b = seen.get((w, True), 0), seen.get((w, False), 0)
-        if a + b:
-            rate = (a / n) / (a / n + b / m)
-            worth = (a * rate + 2 * guess * (b == 0)) / (a + 2 * (b == 0)) if a else 0.0
-            # As common among others as among toxic texts: no evidence.
-            lexicon.words[w] = (exact, worth if rate > 0.7 else 0.0)
+                seen.update((entry, kind, toxic) for entry, kind in found if kind % 2)
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.bool_()))] + [pa.array(list(seen.values()), pa.int64())], ["entry", "kind", "toxic", "n"])
+
+    rows = read.mapInArrow(run, "entry string, kind int, toxic boolean, n long").groupBy("entry", "kind", "toxic").agg(F.sum("n").alias("n")).collect()  # entries at most
+    seen = {(r["entry"], r["kind"], r["toxic"]): r["n"] for r in rows}
+    for entries, kind in ((lexicon.words, 1), (lexicon.stems, 3)):
+        for w, (exact, guess) in entries.items():
+            a, b = seen.get((w, kind, True), 0), seen.get((w, kind, False), 0)
+            if b:
+                # Words that others use too are no misspellings of it, unless nearly all are in toxic texts.
+                rate = (a / n) / (a / n + b / m)
+                entries[w] = (exact, rate if rate >= RARE_SHARE else 0.0)
+            elif a:
+                entries[w] = (exact, (a * exact + 2 * guess) / (a + 2))
     return lexicon
 
 
@@ -343,7 +389,11 @@ def learned(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document.
+
+    A null or empty text has the lexicon's base score, 0; without labels of both classes all have; a null doc_id's digest is
+    that of the empty text; repeated rows stay, an empty table gives an empty one, other columns are ignored.
+    """
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias(own("held_out")), "text")
     return score(rows, learned(docs, labels)).select("doc_id", F.col(own("held_out")).alias("held_out"), "score", "predicted")
