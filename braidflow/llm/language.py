@@ -41,6 +41,17 @@ def grams(text: str) -> np.ndarray:
     return counts
 
 
+def grams_of(gram: str) -> int:
+    """The dimension of one n-gram."""
+    c = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
+    h = c * _ODD[0]
+    if len(c) > 1:
+        h = (c[:-1] * _ODD[2]) ^ (c[1:] * _ODD[3])
+    if len(c) > 2:
+        h = h[:-1] * _ODD[1] + c[2:] * _ODD[0]
+    return int((h * _ODD[0])[0] >> np.uint32(32 - (DIMENSIONS.bit_length() - 1)))
+
+
 def codewords(n: int) -> np.ndarray:
     """n codewords: all partitions for up to seven languages, else dense ones from a keyed digest, all distinct."""
     if not n:
@@ -134,7 +145,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous; learned from rows whose crc32(doc_id as text) mod 3 is not 1."""
+    """doc_id, held_out, lang_pred, score and ambiguous; learned from rows whose crc32(doc_id as text) mod 3 is not 1.
+
+    A text that is null or has no letter, and every text where no language was learned, is `und` with score 0; of languages
+    that are equally near the first by code point is named; a null doc_id's digest is that of the empty text; repeated rows
+    stay, an empty table gives an empty one, other columns are ignored.
+    """
     out_of_fit = crc32_mod("doc_id", 3) == 1
     model = fit(docs.filter(~out_of_fit))
     rows = predict(docs.select("doc_id", out_of_fit.alias(own("held_out")), "text"), model)
