@@ -125,24 +125,62 @@ def link_summary(rows: DataFrame, key: str, s: str = "s", b: str = "b", m: str =
     )
 
 
-# Spectra and correlations. The forms on tables suit short curves; `spectra` takes long ones whole, one at a time.
+# Spectra and correlations. A curve is one task's, whole: its transform and all its lags, without pairs of samples.
 
 
-def centred(rows: DataFrame, keys: list[str], value: str, i: str = "i") -> DataFrame:
-    """(keys, j, n, v): present values less their mean, numbered from 0; curves of fewer than four are left out."""
-    rows = rows.filter(clean(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    rows = rows.select(*keys, (F.row_number().over(ordered(keys, i)) - 1).alias("j"), F.count("*").over(w).alias("n"), (F.col(value) - F.avg(value).over(w)).alias("v"))
-    return rows.filter("n >= 4")
+def by_curve(rows: DataFrame, key: str, values: list[str], i: str, made: dict[str, str], one) -> DataFrame:
+    """one(arrays of the values, in order, where all are present) gives a column for each of `made`, or None for a curve of
+    fewer than four."""
+    for v in values:
+        rows = rows.filter(clean(v).isNotNull())
+    schema = ", ".join([f"{key} {dict(rows.dtypes)[key]}", *(f"{c} {t}" for c, t in made.items())])
 
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(i)
+        out = one(*(p[v].to_numpy(float) for v in values)) if len(p) >= 4 else None
+        table = pd.DataFrame({c: [] for c in made} if out is None else out)
+        table.insert(0, key, pd.Series([p[key].iloc[0]] * len(table), dtype=object))
+        return table
+
+    return rows.select(key, i, *values).groupBy(key).applyInPandas(run, schema)
+
+
+def spectrum(rows: DataFrame, key: str, value: str, i: str = "i") -> DataFrame:
+    """(key, n, k, re, im, amp, phase, share) of the whole discrete Fourier transform of the values less their mean, from
+    one wave along the curve to half the number of samples; share is the amplitude by the largest one."""
+
+    def one(v: np.ndarray) -> dict:
+        f = np.fft.rfft(v - v.mean())[1:]
+        amp = np.abs(f)
+        # What is left of rounding has no phase.
+        f = np.where(np.abs(f.real) > 1e-9 * amp.max(), f.real, 0.0) + 1j * np.where(np.abs(f.imag) > 1e-9 * amp.max(), f.imag, 0.0)
+        share = amp / amp.max() if amp.max() > 0 else np.full(len(f), None)
+        return {"n": np.full(len(f), len(v)), "k": np.arange(1, len(f) + 1), "re": f.real, "im": f.imag, "amp": amp, "phase": np.angle(f), "share": share}
+
+    return by_curve(rows, key, [value], i, {"n": "long", "k": "long"} | {c: "double" for c in ("re", "im", "amp", "phase", "share")}, one)
+
+
+def lags(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation of x at a sample and y at one `lag` before it, for all lags from 1 - n to n - 1."""
+    n = len(x)
+    size = 1 << (2 * n - 1).bit_length()
+    x, y = x - x.mean(), y - y.mean()
+    full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    norm = np.sqrt((x * x).sum() * (y * y).sum())
+    return np.concatenate([full[size - n + 1 :], full[:n]]) / norm if norm > 0 else np.full(2 * n - 1, np.nan)
+
+
+def lag_correlation(rows: DataFrame, key: str, x: str, y: str, i: str = "i", most: int | None = None) -> DataFrame:
+    """(key, lag, r): correlation of x at a sample and y `lag` samples before it, over samples that have both, for all lags
+    or those up to `most` either way; NULL where either is constant."""
 
-def spectrum(rows: DataFrame, keys: list[str], value: str, most: int, i: str = "i") -> DataFrame:
-    """(keys, k, re, im, amp) of the discrete Fourier transform for k from 1 to `most` or half the length."""
-    z = centred(rows, keys, value, i)
-    z = z.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.floor(F.col("n") / 2), F.lit(most)).cast("int"))))
-    angle = 2 * math.pi * F.col("k") * F.col("j") / F.col("n")
-    out = z.groupBy(*keys, "n", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), (-F.sum(F.col("v") * F.sin(angle))).alias("im"))
-    return out.withColumn("amp", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    def one(a: np.ndarray, b: np.ndarray) -> dict:
+        n = len(a)
+        reach = n - 1 if most is None else min(n - 1, most)
+        r = lags(a, b)[n - 1 - reach : n + reach]
+        return {"lag": np.arange(-reach, reach + 1), "r": [None if np.isnan(v) else v for v in r.tolist()]}
+
+    return by_curve(rows, key, [x, y] if x != y else [x], i, {"lag": "long", "r": "double"}, one if x != y else lambda a: one(a, a))
 
 
 def dominant(spectra: DataFrame, keys: list[str], step: Column | float = 1.0, longest: Column | None = None) -> DataFrame:
@@ -155,19 +193,6 @@ def dominant(spectra: DataFrame, keys: list[str], step: Column | float = 1.0, lo
     return best.select(*keys, (-F.col("b.k")).alias("k"), F.col("b.wavelength").alias("wavelength"))
 
 
-def lag_correlation(rows: DataFrame, keys: list[str], x: str, y: str, most: int, i: str = "i") -> DataFrame:
-    """(keys, lag, r): correlation of x at a sample and y `lag` samples before it, over samples that have both, for lags
-    up to `most` either way. Each sample meets the few within reach, not all of its curve."""
-    rows = rows.filter(clean(x).isNotNull() & clean(y).isNotNull())
-    w = Window.partitionBy(*keys)
-    z = rows.select(*keys, F.row_number().over(ordered(keys, i)).alias("j"), (F.col(x) - F.avg(x).over(w)).alias("x"), (F.col(y) - F.avg(y).over(w)).alias("y"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(w) * F.sum(F.col("y") * F.col("y")).over(w))
-    z = z.withColumn("norm", norm)
-    left = z.select(*keys, "j", "x", "norm", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("p", F.col("j") - F.col("lag"))
-    right = z.select(*keys, F.col("j").alias("p"), "y")
-    return left.join(right, [*keys, "p"]).groupBy(*keys, "lag").agg(ratio(F.sum(F.col("x") * F.col("y")), F.first("norm")).alias("r"))
-
-
 def best_lag(curves: DataFrame, keys: list[str]) -> DataFrame:
     """The lag of the highest signed correlation, the first of equals."""
     best = curves.groupBy(*keys).agg(F.max(F.struct(F.round("r", 9).alias("r"), (-F.col("lag")).alias("lag"))).alias("b"))
@@ -184,24 +209,43 @@ def correlation_lengths(acf: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.first("folding").alias("folding"), F.sum(F.when((F.col("lag") >= 1) & (F.col("lag") < end), F.col("r"))).alias("integral"))
 
 
-def spectra(rows: DataFrame, key: str, x: str, y: str, i: str = "i") -> DataFrame:
-    """Per curve, whole: dominant wavelengths in samples of x and y, and the phase of y after x there in degrees. x and y
-    are used where both are present."""
-    schema = f"{key} {dict(rows.dtypes)[key]}, n long, wavelength_x double, wavelength_y double, phase double"
+def criterion(rows: DataFrame, key: str, i: str = "i") -> DataFrame:
+    """Per curve of width b, curvature c and migration m: dominant wavelengths of b and c and the phase of b after c at that
+    of c, the lags of the highest correlation of either with m, and their first lag at or below 1/e and the integral to before
+    their first negative one; in samples and degrees."""
+
+    def scales(v: np.ndarray) -> tuple:
+        r = lags(v, v)[len(v) - 1 :]
+        low, below = np.flatnonzero(r <= np.exp(-1)), np.flatnonzero(r < 0)
+        end = below[0] if len(below) else len(r)
+        return int(low[0]) if len(low) else None, float(r[1:end].sum()) if end > 1 else None
+
+    def one(b: np.ndarray, c: np.ndarray, m: np.ndarray) -> dict:
+        n = len(b)
+        fb, fc = (np.fft.rfft(v - v.mean()) for v in (b, c))
+        kb, kc = (1 + int(np.round(np.abs(f[1:]), 9).argmax()) for f in (fb, fc))
+        turn = np.angle(fb[kc]) - np.angle(fc[kc])
+        out = {"wavelength_b": n / kb, "wavelength_c": n / kc, "phase": round(float(np.degrees((turn + np.pi) % (2 * np.pi) - np.pi)), 3)}
+        for name, v in (("b", b), ("c", c)):
+            r = lags(v, m)
+            at = int(np.nan_to_num(np.round(r, 9), nan=-2).argmax())
+            folding, integral = scales(v)
+            out |= {f"lag_{name}": at - n + 1, f"r_{name}": round(float(r[at]), 6), f"folding_{name}": folding, f"integral_{name}": None if integral is None else round(integral, 5)}
+        return {k: [round(v, 6) if k.startswith("wave") else v] for k, v in out.items()}
+
+    made = {c: "double" for c in ("wavelength_b", "wavelength_c", "phase")} | {f"{c}_{x}": t for x in "bc" for c, t in (("lag", "long"), ("r", "double"), ("folding", "long"), ("integral", "double"))}
+    return by_curve(rows, key, ["b", "c", "m"], i, made, one)
+
+
+def sparse_by(rows: DataFrame, key: str, year: str, target: int, least: int = 3) -> DataFrame:
+    """(key, year): the sparse years of each series."""
+    schema = f"{key} {dict(rows.dtypes)[key]}, {year} {dict(rows.dtypes)[year]}"
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(i)
-        both = p[[x, y]].astype(float).replace([np.inf, -np.inf], np.nan).dropna()
-        n = len(both)
-        out = {key: [p[key].iloc[0]], "n": [n], "wavelength_x": [None], "wavelength_y": [None], "phase": [None]}
-        if n >= 4:
-            fx, fy = (np.fft.rfft(both[c] - both[c].mean()) for c in (x, y))
-            kx, ky = 1 + int(np.abs(fx[1:]).argmax()), 1 + int(np.abs(fy[1:]).argmax())
-            d = np.angle(fx[kx]) - np.angle(fy[kx])
-            out |= {"wavelength_x": [n / kx], "wavelength_y": [n / ky], "phase": [float(np.degrees((d + np.pi) % (2 * np.pi) - np.pi))]}
-        return pd.DataFrame(out)
-
-    return rows.groupBy(key).applyInPandas(one, schema)
+        years = sparse_years(sorted(set(p[year].tolist())), target, least)
+        return pd.DataFrame({key: [p[key].iloc[0]] * len(years), year: years})
+
+    return rows.select(key, year).distinct().groupBy(key).applyInPandas(one, schema)
 
 
 def sparse_years(years: list[int], target: int, least: int = 3) -> list[int]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Edges that a path search takes to the driver; a network's links are hundreds, and a sweep runs one search a network.
-MOST_EDGES = 200_000
-
 
 def within(points: DataFrame, tolerance: float) -> DataFrame:
     """(a, b), a < b, of points (id, x, y) no farther apart than the tolerance: an equi-join on grid cells and those around."""
@@ -47,9 +48,12 @@ def saved(df: DataFrame) -> DataFrame:
     """df without its lineage, in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -106,41 +110,139 @@ def longest_path(edges: list[tuple], order: dict, sources: set, targets: set) ->
     return path[::-1]
 
 
-def trunks(edges: DataFrame, nodes: DataFrame, count: int, least: float = 0.0) -> list[dict]:
-    """Up to `count` trunks, one after the other, each the heaviest path of the edges that are left. One shorter than
-    `least` is dropped after its edges are gone, so that numbers keep gaps. Edges are collected, MOST_EDGES at most."""
-    rows = edges.select("u", "v", "w", "link").orderBy("link").limit(MOST_EDGES + 1).collect()
-    if len(rows) > MOST_EDGES:
-        raise ValueError(f"a network of more than {MOST_EDGES} links")
-    order = {r["id"]: r["p"] for r in nodes.select("id", "p").collect()}
-    marks = ends(edges, nodes).collect()
-    sources, targets = {r["id"] for r in marks if r["source"]}, {r["id"] for r in marks if r["target"]}
-    left, out = [tuple(r) for r in rows], []
-    for number in range(1, count + 1):
-        path = longest_path(left, order, sources, targets)
-        if not path:
-            break
-        used = {e[3] for e in path}
-        left = [e for e in left if e[3] not in used]
-        length = float(sum(e[2] for e in path))
-        if length >= least:
-            out.append({"trunk": f"trunk_{number}", "links": [e[3] for e in path], "length": length})
-    return out
-
-
-def concatenated(path: DataFrame, samples: DataFrame) -> DataFrame:
-    """Samples (link, i, s, b, c, m) along trunks (trunk, pos, link, reversed): arc length goes on from link to link, a link
-    passed against its direction is mirrored with c and m negated, and the first sample of every later link goes."""
+class Network:
+    """One site's network: nodes that its links' ends make, edges along its main axis, and where its trunks start and end."""
+
+    def __init__(self, links: pd.DataFrame, tolerance: float) -> None:
+        links = links.sort_values("link")
+        self.links, n = links["link"].tolist(), len(links)
+        x, y = (np.concatenate([links[c + "0"].to_numpy(float), links[c + "1"].to_numpy(float)]) for c in "xy")
+        node = joined(x, y, tolerance)
+        self.size = int(node.max()) + 1 if n else 0
+        count = np.maximum(np.bincount(node, minlength=self.size), 1)
+        at = np.stack([np.bincount(node, v, self.size) / count for v in (x, y)])
+        known = np.isfinite(at).all(0)
+        self.axis = np.array([1.0, 0.0])
+        self.p = at[0]
+        if known.sum() >= 2:
+            middle = at[:, known].mean(1, keepdims=True)
+            (xx, xy), (_, yy) = np.cov(at[:, known])
+            angle = 0.5 * np.arctan2(2 * xy, xx - yy)
+            self.axis = np.array([np.cos(angle), np.sin(angle)]) * (-1 if np.cos(angle) < 0 else 1)
+            self.p = self.axis @ (at - middle)
+        #: (from, to, weight, link, against its direction), from the lower to the higher place along the axis.
+        self.edges = []
+        for link, a, b, w in zip(self.links, node[:n].tolist(), node[n:].tolist(), links["w"].tolist(), strict=True):
+            if abs(self.p[a] - self.p[b]) >= 1e-9:  # false if either is unknown
+                back = bool(self.p[a] > self.p[b])
+                self.edges.append((b, a, w, link, back) if back else (a, b, w, link, back))
+        self.sources = self._edge_of({e[0] for e in self.edges}, 5, False)
+        self.targets = self._edge_of({e[1] for e in self.edges}, 95, True)
+
+    def _edge_of(self, nodes: set[int], percent: float, high: bool) -> set[int]:
+        """Of the nodes those beyond a percentile of their places; without any, all nodes."""
+        nodes = sorted(nodes)
+        if not nodes:
+            return set(range(self.size))
+        p = self.p[nodes]
+        limit = np.percentile(p, percent)
+        return {n for n, v in zip(nodes, p.tolist(), strict=True) if (v >= limit if high else v <= limit)}
+
+    def trunks(self, count: int) -> list[list[tuple]]:
+        """Up to `count` paths, each the heaviest of the edges that those before left."""
+        left, out = self.edges, []
+        while len(out) < count and (path := longest_path(left, dict(enumerate(self.p.tolist())), self.sources, self.targets)):
+            used = {e[3] for e in path}
+            left = [e for e in left if e[3] not in used]
+            out.append(path)
+        return out
+
+
+def joined(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """A number for each point: the same for those that steps of at most the tolerance join, by first appearance.
+
+    Points are put in squares so small that all of one square are joined; only the first point of each run meets others."""
+    n = len(x)
+    up = list(range(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    if tolerance > 0:
+        side = tolerance / np.sqrt(2)
+        squares: dict[tuple, list[int]] = {}
+        for i in np.flatnonzero(np.isfinite(x) & np.isfinite(y)).tolist():
+            squares.setdefault((int(x[i] // side), int(y[i] // side)), []).append(i)
+        for (cx, cy), mine in squares.items():
+            for i in mine[1:]:
+                up[root(i)] = root(mine[0])
+            for dx, dy in ((a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)):
+                other = squares.get((cx + dx, cy + dy))
+                if other and root(other[0]) != root(mine[0]):
+                    d2 = (x[mine][:, None] - x[other]) ** 2 + (y[mine][:, None] - y[other]) ** 2
+                    if (d2 <= tolerance * tolerance).any():
+                        up[root(other[0])] = root(mine[0])
+    roots: dict[int, int] = {}
+    return np.array([roots.setdefault(root(i), len(roots)) for i in range(n)], int)
+
+
+def paths(links: DataFrame, site: str, tolerance: float, count: int, least: float = 0.0) -> DataFrame:
+    """(site, trunk, pos, link, reversed, w) of up to `count` trunks of each site's links (link, x0, y0, x1, y1, w): which links
+    a trunk passes, in order, and which against their direction. One shorter than `least` is left out after its edges are
+    gone, so that numbers keep gaps. A network is one task's: it has hundreds of links, however many sites there are."""
+    types = dict(links.dtypes)
+    schema = f"{site} {types[site]}, trunk int, pos int, link {types['link']}, reversed boolean, w double"
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for k, path in enumerate(Network(p, tolerance).trunks(count), 1):
+            if sum(e[2] for e in path) >= least:
+                rows += [(p[site].iloc[0], k, pos, e[3], e[4], e[2]) for pos, e in enumerate(path, 1)]
+        return pd.DataFrame(rows, columns=[site, "trunk", "pos", "link", "reversed", "w"])
+
+    return links.groupBy(site).applyInPandas(one, schema)
+
+
+def diagnostics(links: DataFrame, site: str, tolerance: float, count: int) -> DataFrame:
+    """A row a site: its links, nodes, edges, trunks, sources and targets, and the direction of its main axis."""
+    names = ["n_links", "n_nodes", "n_edges", "n_trunks", "n_sources", "n_targets"]
+    schema = f"{site} {dict(links.dtypes)[site]}, {', '.join(f'{c} long' for c in names)}, axis_x double, axis_y double"
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        n = Network(p, tolerance)
+        counts = (len(n.links), n.size, len(n.edges), len(n.trunks(count)), len(n.sources), len(n.targets))
+        return pd.DataFrame([(p[site].iloc[0], *counts, *n.axis.tolist())], columns=[site, *names, "axis_x", "axis_y"])
+
+    return links.groupBy(site).applyInPandas(one, schema)
+
+
+def criterion(trunks: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """By group: trunks, their effective number, and the shares of the largest one, two and three; NULL where there are fewer."""
+    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(0.0)
+    total = F.sum(w).over(Window.partitionBy(*keys))
+    rows = trunks.withColumn("_p", w / F.nullif(total, F.lit(0.0))).filter("_p IS NOT NULL")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_p"))))
+    top = lambda k: F.when(F.count("*") >= k, F.sum(F.when(F.col("_k") <= k, F.col("_p"))))
+    return rows.groupBy(*keys).agg(F.count("*").alias("trunks"), (1 / F.sum(F.col("_p") * F.col("_p"))).alias("n_eff"), *[top(k).alias(f"top{k}") for k in (1, 2, 3)])
+
+
+def concatenated(path: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples (link, i, s, b, c, m) along trunks (keys, pos, link, reversed), numbered by j: arc length goes on from link to
+    link, a link passed against its direction is mirrored with c and m negated, and the first sample of every later link goes."""
     span = samples.groupBy("link").agg(F.min("s").alias("s0"), F.max("s").alias("s1"))
-    links = path.join(span, "link").withColumn("length", F.col("s1") - F.col("s0"))
-    w = Window.partitionBy("trunk").orderBy("pos")
+    links = path.select(*keys, "pos", "link", "reversed").join(span, "link").withColumn("length", F.col("s1") - F.col("s0"))
+    w = Window.partitionBy(*keys).orderBy("pos")
     links = links.withColumn("offset", F.sum("length").over(w) - F.col("length"))
     rows = links.join(samples, "link")
     back = F.col("reversed")
     at = F.when(back, F.col("s1") - F.col("s")).otherwise(F.col("s") - F.col("s0"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("trunk", "pos").orderBy(F.when(back, -F.col("i")).otherwise(F.col("i"))))).filter((F.col("pos") == 1) | (F.col("_k") > 1))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(F.when(back, -F.col("i")).otherwise(F.col("i"))))).filter((F.col("pos") == 1) | (F.col("_k") > 1))
+    rows = rows.withColumn("j", F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "_k")))
     sign = F.when(back, -1.0).otherwise(1.0)
-    return rows.select("trunk", "pos", "link", F.col("_k").alias("k"), (F.col("offset") + at).alias("s"), "b", (sign * F.col("c")).alias("c"), (sign * F.col("m")).alias("m"))
+    return rows.select(*keys, "pos", "link", "j", (F.col("offset") + at).alias("s"), "b", (sign * F.col("c")).alias("c"), (sign * F.col("m")).alias("m"))
 
 
 def shares(rows: DataFrame, name: str, weight: str) -> DataFrame:

@@ -37,7 +37,7 @@ def power_law(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     rows = rows.filter((clean(x) > 0) & (clean(y) > 0)).withColumns({"_lx": F.log(x), "_ly": F.log(y)})
     fit = linear(rows, keys, "_lx", "_ly").select(*keys, "n", F.exp("intercept").alias("a"), F.col("slope").alias("b"))
     mean = rows.groupBy(*keys).agg(F.avg(y).alias("_my"))
-    both = rows.join(F.broadcast(fit.join(mean, keys)), keys)
+    both = rows.join(fit.join(mean, keys), keys)
     rest = F.col(y) - F.col("a") * F.pow(F.col(x), F.col("b"))
     r2 = both.groupBy(*keys).agg((1 - F.sum(rest * rest) / F.nullif(F.sum((F.col(y) - F.col("_my")) * (F.col(y) - F.col("_my"))), F.lit(0.0))).alias("r2"))
     return fit.join(r2, keys, "left")
@@ -52,7 +52,7 @@ def binned(rows: DataFrame, keys: list[str], x: str, y: str, bins: int, least: i
     v = F.log10(x) if log else F.col(x)
     rows = rows.withColumn("_v", v)
     box = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    rows = rows.join(F.broadcast(box), keys)
+    rows = rows.join(box, keys)
     at = F.floor(F.round((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins, 9))
     rows = rows.withColumn("bin", F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int"))
     out = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.expr(f"percentile({y}, 0.25)").alias("p25"), F.expr(f"percentile({y}, 0.75)").alias("p75"))
@@ -99,4 +99,4 @@ def curvature_fit(rows: DataFrame, key: str, x: str, y: str, rounds: int = 60) -
                 damp *= 4
         return pd.DataFrame({key: [p[key].iloc[0]], "n": [n], "peak": [a], "critical": [k], "r2": [1 - now / tot if tot > 0 else None]})
 
-    return sums.join(F.broadcast(start), key).groupBy(key).applyInPandas(fit, schema)
+    return sums.join(start, key).groupBy(key).applyInPandas(fit, schema)

@@ -51,12 +51,12 @@ def w08_step_estimate(spark, sf_dir):
     return curves.step_estimate(profile(spark, sf_dir), ["link"]).withColumns(R6("step"))
 
 
-@query(f"""WITH {PROFILE}, p AS (SELECT * FROM prof WHERE i <= 8), q AS (SELECT *, s AS s0, lead(s) OVER v AS s1, lead(x) OVER v AS x1, lead(y) OVER v AS y1 FROM p {OVER}), t AS (SELECT *, max(s) OVER (PARTITION BY link) AS total FROM q),
+@query(f"""WITH {PROFILE}, q AS (SELECT *, s AS s0, lead(s) OVER v AS s1, lead(x) OVER v AS x1, lead(y) OVER v AS y1 FROM prof {OVER}), t AS (SELECT *, max(s) OVER (PARTITION BY link) AS total FROM q),
 n AS (SELECT *, greatest(ceil(total/40.0), 2) AS n FROM t), g AS (SELECT *, unnest(range(0, n::BIGINT+1)) AS k FROM n),
 f AS (SELECT link, k, k*total/n AS s, s0, s1, x, x1, y, y1, n, row_number() OVER (PARTITION BY link, k ORDER BY s0 DESC) AS o FROM g WHERE s1 > s0 AND round(k*total/n,7) >= round(s0,7) AND (round(k*total/n,7) < round(s1,7) OR k = n))
 SELECT link, k, round(s,5) s, round(x+least(greatest((s-s0)/(s1-s0),0),1)*(x1-x),5) x, round(y+least(greatest((s-s0)/(s1-s0),0),1)*(y1-y),5) y FROM f WHERE o = 1""")
 def w01_f17_densify(spark, sf_dir):
-    rows = profile(spark, sf_dir).filter("i <= 8").select("link", "i", "x", "y")
+    rows = profile(spark, sf_dir).select("link", "i", "x", "y")
     rows = curves.densified(curves.without_duplicates(rows, ["link"]), ["link"], 40.0)
     return rows.select("link", "k", F.round("s", 5).alias("s"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
@@ -90,63 +90,54 @@ def a07_a08_link_summary(spark, sf_dir):
     return rows.withColumns(R6(*NAMES) | {n: F.round(n, 5) for n in ("arc_length", "mean_abs_c", "median_abs_c")})
 
 
-@query(f"WITH {PROFILE}, s AS (SELECT link, max(s)-min(s) AS arc, count(*) AS n FROM prof GROUP BY link HAVING count(*) >= 20 AND max(s)-min(s) >= 200) SELECT c_custkey, round(arc,5) AS arc, n FROM customer LEFT JOIN s ON link = c_custkey WHERE c_custkey <= 200")
+@query(f"WITH {PROFILE}, s AS (SELECT link, max(s)-min(s) AS arc, count(*) AS n FROM prof GROUP BY link HAVING count(*) >= 20 AND max(s)-min(s) >= 200) SELECT c_custkey, round(arc,5) AS arc, n FROM customer LEFT JOIN s ON link = c_custkey")
 def j08_f04_f05_stats_to_links(spark, sf_dir):
     """A left join of link statistics to the link table, after the least samples and length."""
     stats = profile(spark, sf_dir).groupBy("link").agg((F.max("s") - F.min("s")).alias("arc"), F.count("*").alias("n")).filter("n >= 20 AND arc >= 200")
-    links = table(spark, sf_dir, "customer").filter("c_custkey <= 200").select("c_custkey")
+    links = table(spark, sf_dir, "customer").select("c_custkey")
     return links.join(stats, F.col("c_custkey").cast("string") == F.col("link").cast("string"), "left").select("c_custkey", F.round("arc", 5).alias("arc"), "n")
 
 
 Z = "z AS (SELECT link, row_number() OVER (PARTITION BY link ORDER BY i)-1 AS j, count(*) OVER (PARTITION BY link) AS n, b-avg(b) OVER (PARTITION BY link) AS v FROM prof WHERE b IS NOT NULL)"
+DFT = f"{Z}, k AS (SELECT *, unnest(range(1, n//2+1)) AS k FROM z WHERE n >= 4), sp0 AS (SELECT link, n, k, sum(v*cos(2*pi()*k*j/n)) re, -sum(v*sin(2*pi()*k*j/n)) im FROM k GROUP BY ALL), sp AS (SELECT *, sqrt(re*re+im*im) AS amp, max(sqrt(re*re+im*im)) OVER (PARTITION BY link) AS top FROM sp0)"
 
 
-@query(f"""WITH {PROFILE}, {Z}, k AS (SELECT *, unnest(range(1, least(n//2, 20)+1)) AS k FROM z WHERE n >= 4), sp AS (SELECT link, n, k, sum(v*cos(2*pi()*k*j/n)) re, sum(v*sin(2*pi()*k*j/n)) im FROM k GROUP BY ALL)
-SELECT link, k, round(sqrt(re*re+im*im),4) AS amp FROM sp""")
+@query(f"WITH {PROFILE}, {DFT} SELECT link, k, round(amp,4) AS amp, round(atan2(CASE WHEN abs(im)>1e-9*top THEN im ELSE 0 END, CASE WHEN abs(re)>1e-9*top THEN re ELSE 0 END),3)+0.0 AS phase, round(amp/nullif(top,0),6) AS share FROM sp")
 def q01_spectrum(spark, sf_dir):
-    return curves.spectrum(profile(spark, sf_dir), ["link"], "b", 20).select("link", F.col("k").cast("long").alias("k"), F.round("amp", 4).alias("amp"))
+    return curves.spectrum(profile(spark, sf_dir), "link", "b").select("link", "k", F.round("amp", 4).alias("amp"), (F.round("phase", 3) + 0.0).alias("phase"), F.round("share", 6).alias("share"))
 
 
-@query(f"""WITH {PROFILE}, {Z}, k AS (SELECT *, unnest(range(1, least(n//2, 20)+1)) AS k FROM z WHERE n >= 4), sp AS (SELECT link, n, k, sum(v*cos(2*pi()*k*j/n)) re, sum(v*sin(2*pi()*k*j/n)) im FROM k GROUP BY ALL),
-t AS (SELECT link, k, n/k::DOUBLE AS wavelength, sqrt(re*re+im*im)/max(sqrt(re*re+im*im)) OVER (PARTITION BY link) AS share, row_number() OVER (PARTITION BY link ORDER BY round(sqrt(re*re+im*im),9) DESC, k) AS o FROM sp WHERE n/k::DOUBLE <= 0.9*n)
+@query(f"""WITH {PROFILE}, {DFT}, t AS (SELECT link, k, n/k::DOUBLE AS wavelength, amp/nullif(top,0) AS share, row_number() OVER (PARTITION BY link ORDER BY round(amp,9) DESC, k) AS o FROM sp WHERE n/k::DOUBLE <= 0.9*n)
 SELECT link, k, round(wavelength,6) wavelength FROM t WHERE o=1""")
 def q02_q03_f12_dominant_wavelength(spark, sf_dir):
     """Of wavelengths up to nine tenths of the curve."""
-    sp = curves.spectrum(profile(spark, sf_dir), ["link"], "b", 20)
+    sp = curves.spectrum(profile(spark, sf_dir), "link", "b")
     return curves.dominant(sp, ["link"], 1.0, 0.9 * F.col("n")).select("link", F.col("k").cast("long").alias("k"), F.round("wavelength", 6).alias("wavelength"))
 
 
-LAG = "y AS (SELECT link, row_number() OVER (PARTITION BY link ORDER BY i) AS j, b-avg(b) OVER (PARTITION BY link) AS x, m-avg(m) OVER (PARTITION BY link) AS y FROM prof WHERE b IS NOT NULL AND m IS NOT NULL), nn AS (SELECT link, sqrt(sum(x*x)*sum(y*y)) AS norm FROM y GROUP BY link), ccf AS (SELECT a.link, a.j-c.j AS lag, sum(a.x*c.y)/nullif(any_value(norm),0) AS r FROM y a JOIN y c ON a.link=c.link AND abs(a.j-c.j)<=6 JOIN nn ON nn.link=a.link GROUP BY ALL)"
+LAG = "y AS (SELECT link, row_number() OVER (PARTITION BY link ORDER BY i) AS j, count(*) OVER (PARTITION BY link) AS n, b-avg(b) OVER (PARTITION BY link) AS x, m-avg(m) OVER (PARTITION BY link) AS y FROM prof WHERE b IS NOT NULL AND m IS NOT NULL), nn AS (SELECT link, sqrt(sum(x*x)*sum(y*y)) AS norm FROM y GROUP BY link), ccf AS (SELECT a.link, a.j-c.j AS lag, sum(a.x*c.y)/nullif(any_value(norm),0) AS r FROM y a JOIN y c ON a.link=c.link JOIN nn ON nn.link=a.link WHERE a.n >= 4 GROUP BY ALL)"
 
 
 @query(f"WITH {PROFILE}, {LAG} SELECT link, lag, round(r,6) AS r FROM ccf")
 def q07_f13_correlation_curves(spark, sf_dir):
-    return curves.lag_correlation(profile(spark, sf_dir), ["link"], "b", "m", 6).select("link", F.col("lag").cast("long").alias("lag"), F.round("r", 6).alias("r"))
+    return curves.lag_correlation(profile(spark, sf_dir), "link", "b", "m").select("link", "lag", F.round("r", 6).alias("r"))
 
 
 @query(f"WITH {PROFILE}, {LAG}, o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY round(r,9) DESC, lag) AS k FROM ccf WHERE r IS NOT NULL) SELECT link, lag, round(r,6) AS r FROM o WHERE k=1")
 def q05_best_lag(spark, sf_dir):
-    rows = curves.lag_correlation(profile(spark, sf_dir), ["link"], "b", "m", 6).filter("r IS NOT NULL")
+    rows = curves.lag_correlation(profile(spark, sf_dir), "link", "b", "m").filter("r IS NOT NULL")
     return curves.best_lag(rows, ["link"]).select("link", F.col("lag").cast("long").alias("lag"), F.round("r", 6).alias("r"))
 
 
-@query(f"""WITH {PROFILE}, y AS (SELECT link, row_number() OVER (PARTITION BY link ORDER BY i) AS j, m-avg(m) OVER (PARTITION BY link) AS x FROM prof), nn AS (SELECT link, sum(x*x) AS norm FROM y GROUP BY link),
-acf AS (SELECT a.link, a.j-c.j AS lag, sum(a.x*c.x)/nullif(any_value(norm),0) AS r FROM y a JOIN y c ON a.link=c.link AND a.j-c.j BETWEEN 0 AND 10 JOIN nn ON nn.link=a.link GROUP BY ALL),
+@query(f"""WITH {PROFILE}, y AS (SELECT link, row_number() OVER (PARTITION BY link ORDER BY i) AS j, count(*) OVER (PARTITION BY link) AS n, m-avg(m) OVER (PARTITION BY link) AS x FROM prof), nn AS (SELECT link, sum(x*x) AS norm FROM y GROUP BY link),
+acf AS (SELECT a.link, a.j-c.j AS lag, sum(a.x*c.x)/nullif(any_value(norm),0) AS r FROM y a JOIN y c ON a.link=c.link AND a.j >= c.j JOIN nn ON nn.link=a.link WHERE a.n >= 4 GROUP BY ALL),
 k AS (SELECT link, min(lag) FILTER (r <= exp(-1)) AS folding, min(lag) FILTER (r < 0) AS zero, max(lag) AS l FROM acf GROUP BY link)
 SELECT link, any_value(folding) AS folding, round(sum(r) FILTER (lag >= 1 AND lag < coalesce(zero, l+1)),6) AS integral FROM acf JOIN k USING (link) GROUP BY link""")
 def q06_correlation_lengths(spark, sf_dir):
-    acf = curves.lag_correlation(profile(spark, sf_dir), ["link"], "m", "m", 10)
+    acf = curves.lag_correlation(profile(spark, sf_dir), "link", "m", "m")
     return curves.correlation_lengths(acf, ["link"]).select("link", F.col("folding").cast("long").alias("folding"), F.round("integral", 6).alias("integral"))
 
 
-@query()
-def q04_q08_q09_spectra(spark, sf_dir):
-    """Filled and smoothed width and migration, each curve's spectra whole: wavelengths and phase, by Arrow batches."""
-    rows = curves.filled(profile(spark, sf_dir), ["link"], "b")
-    rows = rows.select("link", "i", curves.moving_average("b", ["link"], 3).alias("b"), F.abs("m").alias("m"))
-    return curves.spectra(rows, "link", "b", "m")
-
-
 @query(f"WITH {XY} SELECT g, round(quantile_cont(x,0),6) q0, round(quantile_cont(x,0.05),6) q5, round(quantile_cont(y,0.25),6) q25, round(quantile_cont(y,0.5),6) q50, round(quantile_cont(y,0.95),6) q95 FROM xy GROUP BY g")
 def a14_percentiles(spark, sf_dir):
     q = lambda c, p: F.round(F.expr(f"percentile({c}, {p})"), 6)
@@ -188,10 +179,34 @@ def a19_a21_curvature_fit(spark, sf_dir):
     return regression.curvature_fit(xy(spark, sf_dir), "g", "x", "y")
 
 
-@query(f"WITH {PROFILE}, {CURV}, l AS (SELECT link, avg(abs(m)) AS am, avg(b) AS mb FROM curv GROUP BY link) SELECT count(*) AS n, round(regr_slope(am, mb),6) AS slope, round(regr_r2(am, mb),6) AS r2 FROM l")
+LEVEL = """l AS (SELECT link, avg(abs(m)) AS am, avg(b) AS mb, avg(abs(c)) AS ac FROM curv GROUP BY link),
+pw AS (SELECT count(*) AS n, exp(regr_intercept(ln(am),ln(ac))) AS a, regr_slope(ln(am),ln(ac)) AS e, avg(am) AS my FROM l WHERE ac>0 AND am>0)"""
+
+
+@query(f"""WITH {PROFILE}, {CURV}, {LEVEL} SELECT 'B linear' AS model, regr_count(am,mb) AS n, round(regr_slope(am,mb),6) AS a, round(regr_intercept(am,mb),5) AS b, round(regr_r2(am,mb),6) AS r2 FROM l
+UNION ALL SELECT 'C linear', regr_count(am,ac), round(regr_slope(am,ac),5), round(regr_intercept(am,ac),5), round(regr_r2(am,ac),6) FROM l
+UNION ALL SELECT 'C power', any_value(n), round(any_value(a),5), round(any_value(e),6), round(1-sum(pow(am-a*pow(ac,e),2))/sum(pow(am-my,2)),6) FROM l, pw WHERE ac>0 AND am>0""")
 def a22_a23_link_level_fit(spark, sf_dir):
+    """Links' mean migration by width and by curvature, by lines, and by a power of curvature."""
     rows = curves.link_summary(curves.curvature(profile(spark, sf_dir), ["link"]), "link").withColumn("all", F.lit(1))
-    return regression.linear(rows, ["all"], "mean_b", "mean_abs_m").select("n", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"))
+    line = lambda x, model, d: regression.linear(rows, ["all"], x, "mean_abs_m").select(F.lit(model).alias("model"), "n", F.round("slope", d).alias("a"), F.round("intercept", 5).alias("b"), F.round("r2", 6).alias("r2"))
+    power = regression.power_law(rows, ["all"], "mean_abs_c", "mean_abs_m").select(F.lit("C power").alias("model"), "n", F.round("a", 5).alias("a"), F.round("b", 6).alias("b"), F.round("r2", 6).alias("r2"))
+    return line("mean_b", "B linear", 6).unionByName(line("mean_abs_c", "C linear", 5)).unionByName(power)
+
+
+@query(f"""WITH {PROFILE}, {CURV}, v AS (SELECT abs(c) AS c, abs(m) AS m FROM curv WHERE c IS NOT NULL AND m IS NOT NULL), pw AS (SELECT count(*) AS n, exp(regr_intercept(ln(m),ln(c))) AS a, regr_slope(ln(m),ln(c)) AS e, avg(m) AS my FROM v WHERE c>0 AND m>0)
+SELECT (SELECT count(*) FROM curv) AS n_total, count(*) AS n_valid, count(*) FILTER (c>0 AND m>0) AS n_power, count(*) FILTER (c>0) AS n_c, count(*) FILTER (m>0) AS n_m, round(regr_slope(m,c),5) AS slope, round(regr_intercept(m,c),5) AS intercept, round(regr_r2(m,c),6) AS r2,
+round((SELECT a FROM pw),5) AS power_a, round((SELECT e FROM pw),6) AS power_b, round((SELECT 1-sum(pow(m-a*pow(c,e),2))/sum(pow(m-my,2)) FROM v, pw WHERE c>0 AND m>0),6) AS power_r2, round(quantile_cont(c,0.05),5) AS c5, round(quantile_cont(c,0.5),5) AS c50, round(quantile_cont(c,0.95),5) AS c95, round(quantile_cont(m,0.5),5) AS m50, round(max(m),5) AS m100 FROM v""")
+def a21_global_relationships(spark, sf_dir):
+    """All samples together: migration by curvature, by a line and a power, how many samples either uses, and percentiles."""
+    every = curves.curvature(profile(spark, sf_dir), ["link"]).select(F.abs("c").alias("c"), F.abs("m").alias("m"), F.lit(1).alias("all"))
+    rows = every.filter("c IS NOT NULL AND m IS NOT NULL")
+    q = lambda c, p: F.round(F.expr(f"percentile({c}, {p})"), 5)
+    counts = every.groupBy("all").agg(F.count("*").alias("n_total"))
+    some = rows.groupBy("all").agg(F.count("*").alias("n_valid"), F.count_if((F.col("c") > 0) & (F.col("m") > 0)).alias("n_power"), F.count_if(F.col("c") > 0).alias("n_c"), F.count_if(F.col("m") > 0).alias("n_m"), q("c", 0.05).alias("c5"), q("c", 0.5).alias("c50"), q("c", 0.95).alias("c95"), q("m", 0.5).alias("m50"), F.round(F.max("m"), 5).alias("m100"))
+    line = regression.linear(rows, ["all"], "c", "m").select("all", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("r2", 6).alias("r2"))
+    power = regression.power_law(rows, ["all"], "c", "m").select("all", F.round("a", 5).alias("power_a"), F.round("b", 6).alias("power_b"), F.round("r2", 6).alias("power_r2"))
+    return counts.join(some, "all").join(line, "all").join(power, "all").drop("all")
 
 
 @query(f"WITH {XY} SELECT g, round(avg(30*(x/25)*exp(1-x/25)),6) AS curve, round(avg(abs(x/1e3)*y),4) AS dimless, round_even(avg(y), 2) AS report FROM xy GROUP BY g")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import along_curves, ensembles, fields, graphs, rasters, relations  # noqa: F401 - they register their queries
+from . import along_curves, ensembles, fields, graphs, rasters, relations, trunks  # noqa: F401 - they register their queries
 from .registry import ORACLES, QUERIES
 
 

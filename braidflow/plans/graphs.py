@@ -56,26 +56,6 @@ def g04_sources_and_targets(spark, sf_dir):
     return network.ends(*network_of(spark, sf_dir))
 
 
-@query()
-def g05_g06_t04_j10_trunks(spark, sf_dir):
-    """Five trunks by removal of the heaviest path each time; short ones leave gaps in the numbers."""
-    rows = network.trunks(*network_of(spark, sf_dir), 5, 2.0)
-    return spark.createDataFrame([(t["trunk"], t["length"], t["links"]) for t in rows], "trunk string, length double, links array<string>")
-
-
-@query()
-def a29_sensitivity(spark, sf_dir):
-    """Trunks, their effective number and top share by least length."""
-    found = network.trunks(*network_of(spark, sf_dir), 8, 0.0)
-    out = []
-    for least in (0.0, 5.0, 10.0, 20.0):
-        kept = [t["length"] for t in found if t["length"] >= least]
-        total = sum(kept)
-        p = sorted((x / total for x in kept), reverse=True) if total else []
-        out.append((least, len(kept), 1 / sum(x * x for x in p) if p else None, sum(p[:2]) if len(p) > 1 else None))
-    return spark.createDataFrame(out, "least double, trunks long, n_eff double, top2 double")
-
-
 @query(f"WITH {EDGES}, p AS (SELECT u, sum(w) AS w FROM edges GROUP BY u), s AS (SELECT u, w/sum(w) OVER () AS p FROM p) SELECT u, round(p,6) AS p, row_number() OVER (ORDER BY p DESC, u) AS rank, round(sum(p) OVER (ORDER BY p DESC, u ROWS UNBOUNDED PRECEDING),6) AS top, round(1/sum(p*p) OVER (),6) AS n_eff FROM s".replace("row_number() OVER (ORDER BY p DESC, u)", "(row_number() OVER (ORDER BY p DESC, u))::INTEGER"))
 def a12_t06_shares(spark, sf_dir):
     rows = edges(spark, sf_dir).groupBy("u").agg(F.sum("w").alias("w"))
@@ -87,15 +67,3 @@ SELECT link, round(x0,6) x0, round(y0,6) y0, round(x1,6) x1, round(y1,6) y1, rou
 def a10_p24_j12_link_ends(spark, sf_dir):
     rows = profile(spark, sf_dir).groupBy("link").agg(F.min_by("x", "i").alias("x0"), F.min_by("y", "i").alias("y0"), F.max_by("x", "i").alias("x1"), F.max_by("y", "i").alias("y1"), (F.max("s") - F.min("s")).alias("length"), F.avg("b").alias("mean_b"))
     return rows.select("link", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("length", 5).alias("length"), F.round(link_weight("length", "mean_b", "length_B"), 3).alias("weight"))
-
-
-@query(f"""WITH {PROFILE}, path AS (SELECT link, link//4 AS trunk, link%4+1 AS pos, link%3=0 AS rev FROM (SELECT DISTINCT link FROM prof)), sp AS (SELECT link, min(s) s0, max(s) s1 FROM prof GROUP BY link),
-l AS (SELECT path.*, s0, s1, coalesce(sum(s1-s0) OVER (PARTITION BY trunk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS o FROM path JOIN sp USING (link)),
-q AS (SELECT trunk, pos, link, row_number() OVER (PARTITION BY trunk, pos ORDER BY CASE WHEN rev THEN -i ELSE i END) AS k, min(pos) OVER (PARTITION BY trunk) AS pp, o + CASE WHEN rev THEN s1-s ELSE s-s0 END AS s, b, CASE WHEN rev THEN -m ELSE m END AS m FROM l JOIN prof USING (link))
-SELECT trunk, count(*) AS n_samples, round(max(s)-min(s),4) AS arc_length, round(avg(b),6) AS mean_b, round(avg(abs(m)),6) AS mean_abs_m, round(sum(m),4) AS sum_m, round(count(*) FILTER (b IS NOT NULL)/count(*)::DOUBLE,6) AS valid FROM q WHERE pos=1 OR k>1 GROUP BY trunk""")
-def w11_a09_j11_trunk_samples(spark, sf_dir):
-    """Links joined to trunks, some against their direction, and the trunks' metrics."""
-    rows = profile(spark, sf_dir).withColumn("c", F.lit(None).cast("double"))
-    path = rows.select("link").distinct().select("link", F.floor(F.col("link") / 4).alias("trunk"), (F.col("link") % 4 + 1).alias("pos"), (F.col("link") % 3 == 0).alias("reversed"))
-    out = network.concatenated(path, rows.select("link", "i", "s", "b", "c", "m")).groupBy("trunk")
-    return out.agg(F.count("*").alias("n_samples"), F.round(F.max("s") - F.min("s"), 4).alias("arc_length"), F.round(F.avg("b"), 6).alias("mean_b"), F.round(F.avg(F.abs("m")), 6).alias("mean_abs_m"), F.round(F.sum("m"), 4).alias("sum_m"), F.round(F.count("b") / F.count("*"), 6).alias("valid"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidflow.functions import columns as k
-from braidflow.operators.curves import sparse_years
+from braidflow.operators.curves import sparse_by
 from braidflow.sources import catalogue
-from braidflow.sources.standins import POINTS, points, table
+from braidflow.sources.standins import POINTS, RASTER, points, raster, table
 
 from .registry import query
 
@@ -47,8 +47,8 @@ def j14_availability(spark, sf_dir):
     """What is wanted and there, and what is wanted and missing: a semi and an anti join."""
     wanted = files(spark, sf_dir)
     there = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("site"))
-    one = wanted.join(F.broadcast(there), "site", "left_semi").withColumn("known", F.lit(True))
-    return one.unionByName(wanted.join(F.broadcast(there), "site", "left_anti").withColumn("known", F.lit(False))).select("site", "file", "known")
+    one = wanted.join(there, "site", "left_semi").withColumn("known", F.lit(True))
+    return one.unionByName(wanted.join(there, "site", "left_anti").withColumn("known", F.lit(False))).select("site", "file", "known")
 
 
 @query("SELECT CASE n WHEN 'YR-A' THEN 'HuangHe-A' WHEN 'YR-B' THEN 'HuangHe-B' WHEN 'Jurua' THEN 'Jurua-A' ELSE n END AS site, count(*) AS n FROM (SELECT CASE s_suppkey%4 WHEN 0 THEN 'YR-A' WHEN 1 THEN 'YR-B' WHEN 2 THEN 'Jurua' ELSE 'Other' END AS n FROM supplier) GROUP BY 1")
@@ -57,10 +57,12 @@ def s12_site_aliases(spark, sf_dir):
     return table(spark, sf_dir, "supplier").groupBy(k.site_name(name).alias("site")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILES}, y AS (SELECT DISTINCT site, year FROM files), b AS (SELECT site, min(year) AS lo, max(year) AS hi, count(*) AS n, greatest((max(year)-min(year))/2.0, 3) AS st FROM y GROUP BY site),
+c AS (SELECT site, lo AS year, 1 AS k FROM b WHERE n > 3 UNION ALL SELECT site, year, k FROM (SELECT c.site, y.year, c.k+1 AS k, row_number() OVER (PARTITION BY c.site ORDER BY abs(y.year-c.year-b.st), y.year) AS o FROM c JOIN b ON b.site=c.site JOIN y ON y.site=c.site AND y.year>c.year WHERE c.k < 2 AND c.year < b.hi) WHERE o=1)
+SELECT site, year FROM c UNION SELECT site, hi FROM b UNION SELECT site, year FROM y JOIN b USING (site) WHERE n <= 3""")
 def w10_j13_sparse_years(spark, sf_dir):
-    years = [r["year"] for r in files(spark, sf_dir).select("year").distinct().collect()]  # years of a survey: tens
-    return spark.createDataFrame([(y,) for y in sparse_years(sorted(years), 10)], "year long")
+    """At most three years of each site, about evenly apart."""
+    return sparse_by(files(spark, sf_dir).withColumn("year", F.col("year").cast("long")), "site", "year", 3)
 
 
 @query("WITH l AS (SELECT vec_id, unnest([embedding[1:8], embedding[9:16]]) AS part, unnest([0,1]) AS p FROM embeddings) SELECT CASE WHEN p=0 THEN vec_id::VARCHAR ELSE vec_id || '_' || p END AS link, (i-1)::INTEGER AS seq, round(part[i*2-1]::DOUBLE,6) AS x, round(part[i*2]::DOUBLE,6) AS y FROM l, (SELECT unnest(range(1,5)) AS i)")
@@ -88,11 +90,13 @@ def s08_t03_longest_line(spark, sf_dir):
     return sums.orderBy(F.desc("length"), "line").limit(1).select("line", F.round("length", 5).alias("length"))
 
 
-@query("SELECT trunk, number, rank FROM (SELECT trunk, number, row_number() OVER (ORDER BY number, trunk)::INTEGER AS rank FROM (SELECT DISTINCT 'trunk_' || (l_linenumber*3) AS trunk, l_linenumber*3 AS number FROM lineitem)) WHERE rank <= 5")
+@query("SELECT trunk, number, rank, link_index FROM (SELECT trunk, number, row_number() OVER (ORDER BY number, trunk)::INTEGER AS rank, row_number() OVER (ORDER BY trunk)::INTEGER-1 AS link_index FROM (SELECT DISTINCT 'trunk_' || (l_linenumber*3) AS trunk, l_linenumber*3 AS number FROM lineitem)) WHERE rank <= 5")
 def w12_t02_numeric_order(spark, sf_dir):
-    """The first five trunks by the number in their name, not by its letters."""
+    """The first five trunks by the number in their name; link_index is their place among all by its letters."""
     rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("trunk_"), F.col("l_linenumber") * 3).alias("trunk")).distinct()
     rows = rows.withColumn("number", F.regexp_extract("trunk", r"(\d+)$", 1).cast("int"))
+    # One row a name.
+    rows = rows.withColumn("link_index", F.row_number().over(Window.orderBy("trunk")) - 1)
     return rows.orderBy("number", "trunk").limit(5).withColumn("rank", F.row_number().over(Window.orderBy("number", "trunk")))
 
 
@@ -107,3 +111,17 @@ def j09_vectors_on_water(spark, sf_dir):
 def d16_json_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("site")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("largest"))
     return rows.select("site", F.to_json(F.struct("n", "largest")).alias("summary"))
+
+
+@query(f"WITH {RASTER} SELECT year, count(*) AS pixels, sum(water)::BIGINT AS water FROM (SELECT (2000 + ascii(layer) % 3)::INTEGER AS year, * FROM ras) WHERE year <> 2001 GROUP BY year")
+def s01_s09_raster_scan(spark, sf_dir):
+    """Masks written as a table of the data model and read with its declared schema, years not wanted left out by partition."""
+    rows = raster(spark, sf_dir).select(F.lit("site").alias("site"), F.lit(1).alias("mask_level"), (F.ascii("layer") % 3 + 2000).alias("year"), "r", "c", F.col("water").cast("short").alias("val"))
+    path = catalogue.shared_folder(spark, "rasters")
+    catalogue.write_table(rows, path, ["site", "mask_level", "year"])
+    return catalogue.read_table(spark, path, catalogue.RASTER).filter("year <> 2001").groupBy("year").agg(F.count("*").alias("pixels"), F.sum("val").alias("water"))
+
+
+@query(f"WITH {RASTER} SELECT layer, (max(r)+1)::INTEGER AS height, (max(c)+1)::INTEGER AS width, count(*) AS pixels, 30.0::DOUBLE AS resolution, 'EPSG:32618' AS crs, round((max(r)+1)*(max(c)+1)*900/1e6,6) AS area_km2 FROM ras GROUP BY layer")
+def s05_raster_sizes(spark, sf_dir):
+    return catalogue.raster_sizes(raster(spark, sf_dir), ["layer"], 30.0, "EPSG:32618")

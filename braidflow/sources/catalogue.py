@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,23 @@ def write_table(df: DataFrame, path: str, partitions: list[str] | None = None) -
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; on one machine alone, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def raster_sizes(raster: DataFrame, keys: list[str], resolution: float, crs: str) -> DataFrame:
+    """Rows, columns, pixels, resolution, reference system and area of each raster."""
+    out = raster.groupBy(*keys).agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"), F.count("*").alias("pixels"))
+    area = F.round(F.col("height") * F.col("width") * (resolution * resolution) / 1e6, 6)
+    return out.select(*keys, "height", "width", "pixels", F.lit(resolution).alias("resolution"), F.lit(crs).alias("crs"), area.alias("area_km2"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A report with a header: one file, as reports are small."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -61,18 +61,30 @@ def sine(n=256, period=32, shift=5):
 
 
 def test_spectrum_and_lag_of_sines(spark):
-    df = spark.createDataFrame(sine(), "line string, i int, x double, y double")
-    assert curves.dominant(curves.spectrum(df, ["line"], "x", 40), ["line"]).first()["wavelength"] == 32
-    whole = curves.spectra(df, "line", "x", "y").first()
-    assert whole["wavelength_x"] == 32 and whole["phase"] == pytest.approx(-360 * 5 / 32)
-    assert curves.best_lag(curves.lag_correlation(df, ["line"], "x", "y", 12), ["line"]).first()["lag"] == 5
-    x = np.array([r[2] for r in sine()])
+    df = spark.createDataFrame([*sine(), ("few", 1, 1.0, 2.0)], "line string, i int, x double, y double")
+    got = curves.spectrum(df, "line", "x")
+    assert curves.dominant(got, ["line"]).first()["wavelength"] == 32 and got.count() == 128
+    assert max(r["share"] for r in got.collect()) == 1.0
+    x, y = (np.array([r[k] for r in sine()]) for k in (2, 3))
+    best = curves.best_lag(curves.lag_correlation(df, "line", "x", "y"), ["line"]).first()
+    full = np.correlate(x - x.mean(), y - y.mean(), "full")
+    assert best["lag"] == int(full.argmax()) - 255
     z = x - x.mean()
-    acf = np.correlate(z, z, "full")[len(z) - 1 :][:13] / (z @ z)
-    got = {r["lag"]: r["r"] for r in curves.lag_correlation(df, ["line"], "x", "x", 12).collect()}
-    assert [got[j] for j in range(13)] == pytest.approx(acf.tolist())
+    acf = np.correlate(z, z, "full")[len(z) - 1 :] / (z @ z)
+    got = {r["lag"]: r["r"] for r in curves.lag_correlation(df, "line", "x", "x").collect()}
+    assert [got[j] for j in range(256)] == pytest.approx(acf.tolist(), abs=1e-9) and len(got) == 511
+    assert set(curves.lag_correlation(df, "line", "x", "x", most=12).toPandas()["lag"]) == set(range(-12, 13))
     lengths = curves.correlation_lengths(spark.createDataFrame([("s", j, float(v)) for j, v in enumerate(acf)], "line string, lag int, r double"), ["line"]).first()
     assert lengths["folding"] == int(np.argmax(acf <= math.exp(-1))) and lengths["integral"] == pytest.approx(acf[1 : int(np.argmax(acf < 0))].sum())
+    flat = spark.createDataFrame([("f", i, 1.0, float(i)) for i in range(6)], "line string, i int, x double, y double")
+    assert {r["r"] for r in curves.lag_correlation(flat, "line", "x", "y").collect()} == {None}
+
+
+def test_criterion_of_sines(spark):
+    rows = [("s", i + 1, x, y, y) for _, i, x, y in ((a, b - 1, c, d) for a, b, c, d in sine())]
+    got = curves.criterion(spark.createDataFrame(rows, "t string, i int, b double, c double, m double"), "t").first()
+    assert got["wavelength_b"] == got["wavelength_c"] == 32 and got["phase"] == pytest.approx(-360 * 5 / 32, abs=1e-3)
+    assert got["lag_c"] == 0 and got["r_c"] == 1.0 and got["lag_b"] == 5
 
 
 def test_shifted_image_is_recovered(spark):
@@ -87,6 +99,11 @@ def test_shifted_image_is_recovered(spark):
         rows.append((g["gy"], g["gx"], a[y : y + 32, x : x + 32].ravel().tolist(), b[y : y + 32, x : x + 32].ravel().tolist()))
     field = displacement.validated(displacement.displacement_of(spark.createDataFrame(rows, "gy int, gx int, a array<double>, b array<double>"), ["gy", "gx"], 32, 16)).collect()
     assert all(r["signal"] > 1.3 and abs(r["dx"] - 5) < 0.5 and abs(r["dy"] + 3) < 0.5 for r in field)
+    pixels = [("p", r, c, float(a[r, c]), float(b[r, c])) for r in range(128) for c in range(128)]
+    made = displacement.windows(spark.createDataFrame(pixels, "k string, r int, c int, a double, b double"), ["k"], 128, 128, 32, 16)
+    assert sorted((r["gy"], r["gx"], r["a"], r["b"]) for r in made.collect()) == sorted(rows)
+    chain = displacement.displacement_of(made, ["k"], 32, 16).collect()
+    assert {(r["px"], r["py"]) for r in chain} == {(5, -3)}
     small = [(0, r, c, float(a[r, c]), float(np.roll(a[:8, :8], (1, -2), (0, 1))[r, c])) for r in range(8) for c in range(8)]
     peak = displacement.peaks(displacement.correlation(spark.createDataFrame(small, "k int, r int, c int, a double, b double"), "k", 8), "k", 8).first()
     assert (peak["dx"], peak["dy"]) == (-2, 1)
@@ -154,15 +171,45 @@ def test_clusters_chain_and_tolerance(spark):
     assert all(r["id"] == r["root"] for r in network.clusters(pts, 0.0).collect())
 
 
-def test_trunks_and_concatenation(spark):
-    nodes = spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, p double")
-    edges = spark.createDataFrame([(0, 1, 1.0, "a"), (1, 5, 1.0, "b"), (0, 2, 3.0, "c"), (2, 5, 3.0, "d"), (1, 2, 1.0, "e")], "u long, v long, w double, link string")
-    got = network.trunks(edges, nodes, 3, 2.5)
-    assert [t["links"] for t in got] == [["c", "d"]] and network.trunks(edges, nodes, 3)[1]["links"] == ["a", "b"]
+def test_longest_path_prefers_targets():
+    nodes = {i: float(i) for i in range(6)}
+    edges = [(0, 1, 1.0, "a"), (1, 5, 1.0, "b"), (0, 2, 3.0, "c"), (2, 5, 3.0, "d"), (1, 2, 1.0, "e"), (2, 4, 9.0, "f")]
+    assert [e[3] for e in network.longest_path(edges, nodes, {0}, {5})] == ["c", "d"]
+    assert [e[3] for e in network.longest_path(edges, nodes, {0}, {3})] == ["c", "f"]
+    assert network.longest_path(edges, nodes, {5}, {0}) == []
+
+
+def test_points_that_steps_join():
+    rng = np.random.default_rng(8)
+    for tolerance in (0.0, 0.02, 0.07):
+        x, y = rng.random((2, 120))
+        got = network.joined(x, y, tolerance)
+        near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= tolerance * tolerance if tolerance else np.eye(120, dtype=bool)
+        while ((after := near @ near) != near).any():
+            near = after
+        assert (got[:, None] == got).tolist() == near.tolist()
+
+
+def test_trunks_of_two_chains(spark):
+    """Two chains, one link digitised backwards, ends apart by less than the tolerance; a stub and a loop stay out."""
+    links = [("s", "a", 0.0, 0.0, 10.0, 0.1, 10.0), ("s", "b", 20.0, 0.0, 10.1, 0.0, 11.0), ("s", "c", 0.1, 0.0, 10.0, 0.0, 5.0), ("s", "d", 10.0, 0.0, 20.1, 0.1, 5.5), ("s", "loop", 10.0, 0.0, 10.0, 0.05, 99.0), ("s", "stub", 10.0, 0.0, 12.0, 3.0, 1.0), ("t", "z", 0.0, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(links, "site string, link string, x0 double, y0 double, x1 double, y1 double, w double")
+    rows = sorted((r["site"], r["trunk"], r["pos"], r["link"], r["reversed"]) for r in network.paths(df, "site", 0.5, 3).collect() if r["site"] == "s")
+    assert rows[:4] == [("s", 1, 1, "a", False), ("s", 1, 2, "b", True), ("s", 2, 1, "c", False), ("s", 2, 2, "d", False)]
+    kept = {r["trunk"] for r in network.paths(df, "site", 0.5, 3, least=15.0).collect()}
+    assert kept == {1}
+    d = {r["site"]: r for r in network.diagnostics(df, "site", 0.5, 3).collect()}["s"]
+    assert (d["n_links"], d["n_nodes"], d["n_edges"], d["n_sources"]) == (6, 4, 5, 1) and d["axis_x"] > 0.99
+
+
+def test_concatenation(spark):
     samples = spark.createDataFrame([("a", i, float(i), 1.0, 0.5, 2.0) for i in range(3)] + [("b", i, 10.0 + i, 2.0, 0.5, 2.0) for i in range(3)], "link string, i int, s double, b double, c double, m double")
     path = spark.createDataFrame([("t", 1, "a", False), ("t", 2, "b", True)], "trunk string, pos int, link string, reversed boolean")
-    rows = network.concatenated(path, samples).orderBy("pos", "k").collect()
-    assert [r["s"] for r in rows] == [0, 1, 2, 3, 4] and [r["m"] for r in rows] == [2, 2, 2, -2, -2]
+    rows = network.concatenated(path, samples, ["trunk"]).orderBy("j").collect()
+    assert [r["j"] for r in rows] == [1, 2, 3, 4, 5] and [r["s"] for r in rows] == [0, 1, 2, 3, 4]
+    assert [r["m"] for r in rows] == [2, 2, 2, -2, -2] and [r["c"] for r in rows] == [0.5, 0.5, 0.5, -0.5, -0.5]
+    got = network.criterion(spark.createDataFrame([("g", float(w)) for w in (3, 1, 1)], "g string, w double"), ["g"], "w").first()
+    assert (got["trunks"], got["top1"], got["top2"], got["top3"]) == (3, 0.6, 0.8, 1.0) and got["n_eff"] == pytest.approx(1 / 0.44)
 
 
 def test_equal_trunks_count_as_many(spark):
