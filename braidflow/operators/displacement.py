@@ -25,6 +25,20 @@ def window_grid(spark, height: int, width: int, size: int, overlap: int) -> Data
     return rows.withColumn("y", F.col("gy") * step + (size - 1) / 2).withColumn("x", F.col("gx") * step + (size - 1) / 2)
 
 
+def windows(frames: DataFrame, keys: list[str], height: int, width: int, size: int, overlap: int) -> DataFrame:
+    """(keys, gy, gx, a, b): the windows of pairs of frames (keys, r, c, a, b) as flat arrays, row by row. Each pixel goes to the
+    windows that hold it; windows that aren't whole are left out."""
+    step = size - overlap
+    ny, nx = (height - size) // step + 1, (width - size) // step + 1
+    reach = lambda x, n: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(x) - size + 1) / step).cast("int")), F.least(F.lit(n - 1), F.floor(F.col(x) / step).cast("int")))
+    some = lambda x, n: F.col(x).between(0, (n - 1) * step + size - 1)
+    rows = frames.filter(some("r", ny) & some("c", nx)).withColumn("gy", F.explode(reach("r", ny))).withColumn("gx", F.explode(reach("c", nx)))
+    rows = rows.filter((F.col("r") < F.col("gy") * step + size) & (F.col("c") < F.col("gx") * step + size))
+    place = (F.col("r") - F.col("gy") * step) * size + F.col("c") - F.col("gx") * step
+    out = rows.groupBy(*keys, "gy", "gx").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "a", "b"))).alias("p"))
+    return out.filter(F.size("p") == size * size).select(*keys, "gy", "gx", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+
+
 def correlation(pairs: DataFrame, key: str, size: int) -> DataFrame:
     """Circular cross-correlation of two square patches (key, r, c, a, b): (key, dy, dx, score) for every shift.
 
@@ -77,10 +91,11 @@ def subpixel(left, peak, right):
 
 def displacement_of(frames: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
     """Displacement of every window of frame pairs (keys, gy, gx, a, b; patches as flat arrays of doubles), by the Fourier
-    transform, one Arrow batch of windows at a time."""
-    schema = ", ".join(f"{c} {t}" for c, t in frames.dtypes if c not in ("a", "b")) + ", dx double, dy double, signal double"
+    transform, one Arrow batch of windows at a time: dx and dy within a pixel, px and py whole, and the peak's ratio to the
+    highest one elsewhere."""
+    schema = ", ".join(f"{c} {t}" for c, t in frames.dtypes if c not in ("a", "b")) + ", dx double, dy double, px int, py int, signal double"
 
-    def one(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    def one(a: np.ndarray, b: np.ndarray) -> tuple[float, float, int, int, float]:
         a, b = a.reshape(size, size) - a.mean(), b.reshape(size, size) - b.mean()
         score = np.fft.irfft2(np.conj(np.fft.rfft2(a)) * np.fft.rfft2(b), (size, size))
         y, x = divmod(int(score.argmax()), size)
@@ -96,11 +111,11 @@ def displacement_of(frames: DataFrame, keys: list[str], size: int, overlap: int)
         far = (np.minimum(gy, size - gy) > 2) | (np.minimum(gx, size - gx) > 2)
         second = score[far].max() if far.any() else 0.0
         signed = [v - size if v > size // 2 else v for v in (y, x)]
-        return signed[1] + fit[1], signed[0] + fit[0], float(top / second) if second > 0 else np.inf
+        return signed[1] + fit[1], signed[0] + fit[0], signed[1], signed[0], float(top / second) if second > 0 else np.inf
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             found = [one(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(p["a"], p["b"], strict=True)]
-            yield p.drop(columns=["a", "b"]).assign(dx=[f[0] for f in found], dy=[f[1] for f in found], signal=[f[2] for f in found])
+            yield p.drop(columns=["a", "b"]).assign(dx=[f[0] for f in found], dy=[f[1] for f in found], px=[f[2] for f in found], py=[f[3] for f in found], signal=[f[4] for f in found])
 
     return frames.mapInPandas(run, schema)

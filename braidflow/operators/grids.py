@@ -71,25 +71,32 @@ def window_read(raster: DataFrame, keys: list[str], r0: int, r1: int, c0: int, c
     return layers.crossJoin(F.broadcast(grid)).join(inside, [*keys, "r", "c"], "left").select(*keys, "r", "c", F.coalesce(water(value), F.lit(0)).alias(value))
 
 
-def rotated(raster: DataFrame, height: int, width: int, degrees: int, value: str) -> DataFrame:
-    """Rotation about the centre onto a grid that holds all of it: each pixel takes the nearest source, outside is 0."""
+def turned(height: int, width: int, degrees: int) -> tuple[int, int, float, float]:
+    """Height and width of the grid that holds a rotated raster, and the turn's cosine and sine."""
     t = math.radians(-degrees)
     cos, sin = math.cos(t), math.sin(t)
-    new_h = int(round(abs(height * cos) + abs(width * sin), 6) + 0.5)
-    new_w = int(round(abs(width * cos) + abs(height * sin), 6) + 0.5)
+    return int(round(abs(height * cos) + abs(width * sin), 6) + 0.5), int(round(abs(width * cos) + abs(height * sin), 6) + 0.5), cos, sin
+
+
+def rotated(raster: DataFrame, height: int, width: int, degrees: int, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Rotation of each raster about its centre onto a grid that holds all of it: each pixel takes the nearest source, outside is 0."""
+    keys = keys or []
+    new_h, new_w, cos, sin = turned(height, width, degrees)
     spark = raster.sparkSession
     grid = spark.range(new_h * new_w).select((F.col("id") / new_w).cast("int").alias("r"), (F.col("id") % new_w).cast("int").alias("c"))
     y, x = F.col("r") - (new_h - 1) / 2, F.col("c") - (new_w - 1) / 2
     source = grid.select("r", "c", F.floor(F.round(y * cos + x * sin + (height - 1) / 2, 9) + 0.5).cast("int").alias("sr"), F.floor(F.round(x * cos - y * sin + (width - 1) / 2, 9) + 0.5).cast("int").alias("sc"))
-    found = raster.select(F.col("r").alias("sr"), F.col("c").alias("sc"), value)
-    return source.join(found, ["sr", "sc"], "left").select("r", "c", F.coalesce(value, F.lit(0)).alias(value))
+    if keys:
+        source = raster.select(*keys).distinct().crossJoin(F.broadcast(source))  # one raster's grid
+    found = raster.select(*keys, F.col("r").alias("sr"), F.col("c").alias("sc"), value)
+    return source.join(found, [*keys, "sr", "sc"], "left").select(*keys, "r", "c", F.coalesce(value, F.lit(0)).alias(value))
 
 
 def percentile_stretch(rows: DataFrame, keys: list[str], value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Values between two quantiles of their group as 0 to 1, clipped."""
     q = rows.groupBy(*keys).agg(F.expr(f"percentile({value}, {low})").alias("lo"), F.expr(f"percentile({value}, {high})").alias("hi"))
     scaled = (F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    return rows.join(F.broadcast(q), keys).withColumn("stretched", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("lo", "hi")
+    return rows.join(q, keys).withColumn("stretched", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("lo", "hi")
 
 
 def downsample(raster: DataFrame, keys: list[str], step: int, value: str, nearest: bool) -> DataFrame:
@@ -110,14 +117,17 @@ def change_windows(both: DataFrame, size_r: int, size_c: int, step_r: int, step_
     return out.filter((F.col("valid") >= valid_share * size_r * size_c) & (F.col("changed") >= least)).select((F.col("wr") * step_r).alias("r0"), (F.col("wc") * step_c).alias("c0"), "valid", "changed", "score")
 
 
-def separated_top(windows: DataFrame, n: int, apart: float, candidates: int = 10_000) -> list[dict]:
-    """Greedy choice of the n best windows at least `apart` pixels from each other, from a bounded number of the best."""
+def separated_top(windows: DataFrame, n: int, apart: float) -> list[dict]:
+    """Greedy choice of the n best windows at least `apart` pixels from each other: each is the best of those that the ones
+    before leave."""
     chosen: list[dict] = []
-    for w in windows.orderBy(F.desc("score"), "r0", "c0").limit(candidates).collect():
-        if all(math.hypot(w["r0"] - o["r0"], w["c0"] - o["c0"]) >= apart for o in chosen):
-            chosen.append(w.asDict())
-        if len(chosen) == n:
+    for _ in range(n):
+        best = windows.orderBy(F.desc("score"), "r0", "c0").first()
+        if best is None:
             break
+        chosen.append(best.asDict())
+        dr, dc = F.col("r0") - best["r0"], F.col("c0") - best["c0"]
+        windows = windows.filter(dr * dr + dc * dc >= apart * apart)
     return chosen
 
 

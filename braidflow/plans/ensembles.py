@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidflow.functions.columns import along, capped, direction, magnitude, rotated, wrapped_degrees
-from braidflow.operators import ensemble
+from braidflow.operators import ensemble, grids
 from braidflow.sources.standins import MASK_PROFILE, VECTOR_OBS, mask_profile, vector_obs
 
 from .registry import query
@@ -70,12 +70,12 @@ def a26_direction_resultant(spark, sf_dir):
     return vector_obs(spark, sf_dir).groupBy("realization").agg(F.round(ensemble.resultant("u", "v"), 6).alias("r"))
 
 
-@query(f"""WITH {VECTOR_OBS}, g AS (SELECT *, cell//40 AS gy, cell%40 AS gx FROM obs WHERE realization=0 AND u IS NOT NULL), b AS (SELECT min(gx) x0,max(gx) x1,min(gy) y0,max(gy) y1 FROM g),
+@query(f"""WITH {VECTOR_OBS}, g AS (SELECT *, cell//40 AS gy, cell%40 AS gx FROM obs WHERE u IS NOT NULL), b AS (SELECT min(gx) x0,max(gx) x1,min(gy) y0,max(gy) y1 FROM g),
 k AS (SELECT least(4, floor((gy-y0)/nullif(y1-y0,0)::DOUBLE*5))::INTEGER AS "by", least(7, floor((gx-x0)/nullif(x1-x0,0)::DOUBLE*8))::INTEGER AS bx, avg(gx) gx, avg(gy) gy, avg(u) u, avg(v) v, count(*) n FROM g,b GROUP BY 1,2),
 o AS (SELECT *, row_number() OVER (ORDER BY "by", bx)-1 AS k, greatest(1.0, count(*) OVER ()/10.0) AS st FROM k)
 SELECT "by", bx, round(gx,6) gx, round(gy,6) gy, round(u,6) u, round(v,6) v, n FROM o WHERE floor(k/st) <> floor((k-1)/st)""")
 def a27_thinned_vectors(spark, sf_dir):
-    rows = vector_obs(spark, sf_dir).filter("realization = 0 AND u IS NOT NULL").select("u", "v", F.floor(F.col("cell") / 40).alias("gy"), (F.col("cell") % 40).alias("gx"))
+    rows = vector_obs(spark, sf_dir).filter("u IS NOT NULL").select("u", "v", F.floor(F.col("cell") / 40).alias("gy"), (F.col("cell") % 40).alias("gx"))
     return rounded(ensemble.thinned(rows, "gx", "gy", "u", "v", 8, 5, 10), "gx", "gy", "u", "v")
 
 
@@ -96,10 +96,17 @@ def p03_p05_p21_p22_p31_vectors(spark, sf_dir):
     return vector_obs(spark, sf_dir).select("cell", "realization", *[F.round(x, 6).alias(n) for n, x in cols.items()], F.signum("v").cast("int").alias("sign_v"))
 
 
-@query(f"""WITH {VECTOR_OBS}, g AS (SELECT realization % 2 AS tilt, (cell//20)::INTEGER AS gy, (cell%20)::INTEGER AS gx, u, v FROM obs WHERE realization < 2 AND cell < 200), s AS (SELECT tilt, max(gy)+1 ny, max(gx)+1 nx FROM g GROUP BY tilt),
+@query(f"""WITH {VECTOR_OBS}, g AS (SELECT realization % 2 AS tilt, (cell//20)::INTEGER AS gy, (cell%20)::INTEGER AS gx, u, v FROM obs), s AS (SELECT tilt, max(gy)+1 ny, max(gx)+1 nx FROM g GROUP BY tilt),
 k AS (SELECT tilt, gy - (ny-6)//2 AS gy, gx - (nx-12)//2 AS gx, u, v FROM g JOIN s USING (tilt))
 SELECT gy::INTEGER AS gy, gx::INTEGER AS gx, count(*) AS n, round(avg(u),6) u_mean FROM k WHERE gy BETWEEN 0 AND 5 AND gx BETWEEN 0 AND 11 GROUP BY gy, gx""")
 def j04_i07_aligned_tilts(spark, sf_dir):
     """Grids of two tilts, cropped to their middle and joined by position."""
-    rows = vector_obs(spark, sf_dir).filter("realization < 2 AND cell < 200").select((F.col("realization") % 2).alias("tilt"), F.floor(F.col("cell") / 20).cast("int").alias("gy"), (F.col("cell") % 20).cast("int").alias("gx"), "u", "v")
+    rows = vector_obs(spark, sf_dir).select((F.col("realization") % 2).alias("tilt"), F.floor(F.col("cell") / 20).cast("int").alias("gy"), (F.col("cell") % 20).cast("int").alias("gx"), "u", "v")
     return ensemble.centre_crop(rows, ["tilt"], 6, 12).groupBy("gy", "gx").agg(F.count("*").alias("n"), F.round(F.avg("u"), 6).alias("u_mean"))
+
+
+@query(f"WITH {VECTOR_OBS} SELECT cell, realization, round(l,6) AS length FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY l DESC, realization) AS k FROM (SELECT cell, realization, round(sqrt(u*u+v*v),9) AS l FROM obs WHERE u IS NOT NULL AND v IS NOT NULL)) WHERE k=1")
+def t07_longest_vector(spark, sf_dir):
+    """Of each cell the realization of the longest vector, the first of equals."""
+    rows = vector_obs(spark, sf_dir).filter("u IS NOT NULL AND v IS NOT NULL").select("cell", "realization", F.round(magnitude("u", "v"), 9).alias("length"))
+    return grids.first_wins(rows, ["cell"], F.col("length"), "realization").withColumn("length", F.round("length", 6))

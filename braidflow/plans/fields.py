@@ -25,18 +25,63 @@ def patches(spark, sf_dir):
 
 @query(f"""WITH {PATCH}, {SCORES}, t AS (SELECT k, dy, dx, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, dy, dx) AS n FROM sc), p AS (SELECT k, dy py, dx px, score peak FROM t WHERE n=1),
 s AS (SELECT k, any_value(px) px, any_value(py) py, any_value(peak) peak, max(score) FILTER (least(abs(dy-py),8-abs(dy-py))>1 OR least(abs(dx-px),8-abs(dx-px))>1) AS next_peak FROM sc JOIN p USING (k) GROUP BY k)
-SELECT k, (CASE WHEN px>4 THEN px-8 ELSE px END)::INTEGER dx, (CASE WHEN py>4 THEN py-8 ELSE py END)::INTEGER dy, round(peak,5) peak, round(CASE WHEN next_peak>0 THEN peak/next_peak END,4) signal FROM s""")
+SELECT k, CASE WHEN peak/next_peak>=1.3 AND next_peak>0 THEN (CASE WHEN px>4 THEN px-8 ELSE px END)::INTEGER END dx, CASE WHEN peak/next_peak>=1.3 AND next_peak>0 THEN (CASE WHEN py>4 THEN py-8 ELSE py END)::INTEGER END dy, round(peak,5) peak, round(CASE WHEN next_peak>0 THEN peak/next_peak END,4) signal FROM s""")
 def i03_i05_displacement(spark, sf_dir):
-    out = displacement.peaks(displacement.correlation(patches(spark, sf_dir), "k", 8), "k", 8)
+    """Displacements whose peak is 1.3 times the next one or more; others are missing."""
+    out = displacement.validated(displacement.peaks(displacement.correlation(patches(spark, sf_dir), "k", 8), "k", 8))
     return out.select("k", F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), F.round("peak", 5).alias("peak"), F.round("signal", 4).alias("signal"))
 
 
-@query()
+def offset_sql(lo: str, hi: str) -> str:
+    d = f"(2*ln({lo})-4*ln(peak)+2*ln({hi}))"
+    return f"CASE WHEN least({lo},peak,{hi})>0 THEN CASE WHEN {d}<>0 THEN (ln({lo})-ln({hi}))/{d} ELSE 0 END ELSE 0 END"
+
+
+@query(f"""WITH {PATCH}, {SCORES}, t AS (SELECT k, dy, dx, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, dy, dx) AS n FROM sc), p AS (SELECT k, dy py, dx px, score peak FROM t WHERE n=1),
+s AS (SELECT k, any_value(px) px, any_value(py) py, any_value(peak) peak, max(score) FILTER (least(abs(dy-py),8-abs(dy-py))>2 OR least(abs(dx-px),8-abs(dx-px))>2) AS other,
+any_value(score) FILTER (dy=(py+7)%8 AND dx=px) AS y0, any_value(score) FILTER (dy=(py+1)%8 AND dx=px) AS y1, any_value(score) FILTER (dx=(px+7)%8 AND dy=py) AS x0, any_value(score) FILTER (dx=(px+1)%8 AND dy=py) AS x1 FROM sc JOIN p USING (k) GROUP BY k),
+f AS (SELECT *, CASE WHEN px>4 THEN px-8 ELSE px END AS sx, CASE WHEN py>4 THEN py-8 ELSE py END AS sy FROM s)
+SELECT k, round(sx+{offset_sql('x0', 'x1')},3) AS dx, round(sy+{offset_sql('y0', 'y1')},3) AS dy, sx::INTEGER AS px, sy::INTEGER AS py, round(CASE WHEN other>0 THEN peak/other END,4) AS signal FROM f""".replace("ln(y0)", "ln(CASE WHEN y0>0 THEN y0 END)").replace("ln(y1)", "ln(CASE WHEN y1>0 THEN y1 END)").replace("ln(x0)", "ln(CASE WHEN x0>0 THEN x0 END)").replace("ln(x1)", "ln(CASE WHEN x1>0 THEN x1 END)"))
 def i03_displacement_fourier(spark, sf_dir):
     """The same with a sub-pixel peak, by Fourier transforms over Arrow batches: the form for large windows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("a"))
     after = rows.select((F.col("k") - 1).alias("k"), F.col("a").alias("b"))
-    return displacement.displacement_of(rows.join(after, "k"), ["k"], 8, 0)
+    out = displacement.displacement_of(rows.join(after, "k"), ["k"], 8, 0)
+    return out.select("k", F.round("dx", 3).alias("dx"), F.round("dy", 3).alias("dy"), "px", "py", F.when(F.col("signal") < float("inf"), F.round("signal", 4)).alias("signal"))
+
+
+FRAMES = """fv AS (SELECT vec_id//64 AS scene, vec_id%64 AS r, embedding AS e, count(*) OVER (PARTITION BY vec_id//64) AS k FROM embeddings),
+px AS (SELECT f.scene, f.r, c, f.e[c+1]::DOUBLE AS a, CASE WHEN f.scene%3=1 AND c>=36 OR f.scene%3=2 THEN f.e[(c*7+5)%64+1] ELSE g.e[(c+59)%64+1] END::DOUBLE AS b FROM fv f JOIN fv g ON g.scene=f.scene AND g.r=(f.r+3)%64, (SELECT unnest(range(64)) AS c) WHERE f.k=64)"""
+
+
+def frames(spark, sf_dir):
+    """(scene, r, c, a, b): 64 vectors as a frame, and it rolled by 5 columns and -3 rows; noise in a part of the second one."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("scene"), (F.col("vec_id") % 64).alias("r"), F.col("embedding").alias("e"))
+    whole = rows.groupBy("scene").agg(F.count("*").alias("k")).filter("k = 64").select("scene")
+    rows = rows.join(whole, "scene")
+    after = rows.select("scene", ((F.col("r") + 61) % 64).alias("r"), F.col("e").alias("g"))
+    rows = rows.join(after, ["scene", "r"]).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    noise = (F.col("scene") % 3 == 2) | (F.col("scene") % 3 == 1) & (F.col("c") >= 36)
+    b = F.when(noise, F.get("e", (F.col("c") * 7 + 5) % 64)).otherwise(F.get("g", (F.col("c") + 59) % 64))
+    return rows.select("scene", F.col("r").cast("int").alias("r"), "c", F.get("e", F.col("c")).cast("double").alias("a"), b.cast("double").alias("b"))
+
+
+@query(f"""WITH {FRAMES}, wn AS (SELECT gy, gx FROM (SELECT unnest(range(3)) AS gy), (SELECT unnest(range(3)) AS gx)),
+pw AS (SELECT scene, gy, gx, r-gy*16 AS r, c-gx*16 AS c, a-avg(a) OVER q AS a, b-avg(b) OVER q AS b FROM px JOIN wn ON r BETWEEN gy*16 AND gy*16+31 AND c BETWEEN gx*16 AND gx*16+31 WINDOW q AS (PARTITION BY scene, gy, gx)),
+sc AS (SELECT x.scene, x.gy, x.gx, (y.r-x.r+32)%32 AS dy, (y.c-x.c+32)%32 AS dx, sum(x.a*y.b) AS score FROM pw x JOIN pw y ON y.scene=x.scene AND y.gy=x.gy AND y.gx=x.gx GROUP BY ALL),
+tp AS (SELECT scene, gy, gx, dy AS py, dx AS px, score AS peak FROM (SELECT *, row_number() OVER (PARTITION BY scene, gy, gx ORDER BY score DESC, dy, dx) AS n FROM sc) WHERE n=1),
+sg AS (SELECT scene, gy, gx, any_value(px) AS px, any_value(py) AS py, any_value(peak) / max(score) FILTER (least(abs(dy-py),32-abs(dy-py))>2 OR least(abs(dx-px),32-abs(dx-px))>2) AS signal FROM sc JOIN tp USING (scene, gy, gx) GROUP BY scene, gy, gx),
+fd AS (SELECT scene, gy, gx, round(signal,3) AS signal, CASE WHEN signal>=1.3 THEN (CASE WHEN px>16 THEN px-32 ELSE px END)::DOUBLE END AS dx, CASE WHEN signal>=1.3 THEN (CASE WHEN py>16 THEN py-32 ELSE py END)::DOUBLE END AS dy FROM sg),
+nb AS (SELECT f.scene, f.gy, f.gx, avg(o.dx) AS ax, avg(o.dy) AS ay FROM fd f JOIN fd o ON o.scene=f.scene AND abs(o.gy-f.gy)<=1 AND abs(o.gx-f.gx)<=1 AND (o.gy<>f.gy OR o.gx<>f.gx) WHERE f.dx IS NULL GROUP BY ALL)
+SELECT scene, gy::INTEGER AS gy, gx::INTEGER AS gx, gy*16+15.5 AS y, gx*16+15.5 AS x, signal, dx IS NOT NULL AS valid, round(coalesce(dx,ax),6) AS dx, round(coalesce(dy,ay),6) AS dy FROM fd LEFT JOIN nb USING (scene, gy, gx)""")
+def i03_i06_window_chain(spark, sf_dir):
+    """Frames to windows of 32 with an overlap of 16, each one's displacement, those that don't stand out repaired from
+    their neighbours."""
+    found = displacement.displacement_of(displacement.windows(frames(spark, sf_dir), ["scene"], 64, 64, 32, 16), ["scene"], 32, 16)
+    field = displacement.validated(found.select("scene", "gy", "gx", "signal", F.col("px").alias("dx"), F.col("py").alias("dy")))
+    field = field.withColumn("valid", F.col("dx").isNotNull())
+    out = displacement.repaired(field, ["scene"], ["dx", "dy"])
+    return out.select("scene", "gy", "gx", (F.col("gy") * 16 + 15.5).alias("y"), (F.col("gx") * 16 + 15.5).alias("x"), F.round("signal", 3).alias("signal"), "valid", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
 @query("WITH f AS (SELECT vec_id//25 AS gy, vec_id%25 AS gx, CASE WHEN vec_id%6<>0 THEN embedding[1]::DOUBLE END AS dx, CASE WHEN vec_id%6<>0 THEN embedding[2]::DOUBLE END AS dy FROM embeddings), n AS (SELECT f.gy, f.gx, avg(o.dx) ax, avg(o.dy) ay FROM f JOIN f o ON abs(f.gy-o.gy)<=1 AND abs(f.gx-o.gx)<=1 AND (f.gy<>o.gy OR f.gx<>o.gx) WHERE f.dx IS NULL GROUP BY ALL) SELECT gy, gx, round(coalesce(dx,ax),6) dx, round(coalesce(dy,ay),6) dy FROM f LEFT JOIN n USING (gy, gx)")

@@ -24,13 +24,14 @@ def p17_p20_surface_water(spark, sf_dir):
     return rows.select("px", "year", *[F.round(x, 6).alias(n) for n, x in k.indices(*b).items()], "code", "cls", k.water_at("cls", 2).alias("water2"), k.water_at("cls", 4).alias("water4"))
 
 
-@query("SELECT vec_id, round(20000*abs(embedding[1])::DOUBLE*0.0000275-0.2,6) refl, ((vec_id*7%32) & 24) = 0 AS clear, CASE WHEN 1980+vec_id%46 <= 1984 THEN 'L4' WHEN 1980+vec_id%46 <= 1999 THEN 'L5' WHEN 1980+vec_id%46 <= 2012 THEN 'L7' WHEN 1980+vec_id%46 <= 2021 THEN 'L8' ELSE 'L9' END AS sensor, CASE WHEN embedding[2]>0.1 THEN 255 ELSE 0 END AS mask, CASE WHEN embedding[3]>0 THEN 1 ELSE 0 END AS water FROM embeddings")
+@query(f"SELECT vec_id, {', '.join(f'round(20000*abs(embedding[{i}])::DOUBLE*0.0000275-0.2,6) AS {n}' for i, n in enumerate(('SR_B2', 'SR_B3', 'SR_B4', 'SR_B5', 'SR_B6', 'SR_B7'), 1))}, ((vec_id*7%32) & 24) = 0 AS clear, CASE WHEN 1980+vec_id%46 <= 1984 THEN 'L4' WHEN 1980+vec_id%46 <= 1999 THEN 'L5' WHEN 1980+vec_id%46 <= 2012 THEN 'L7' WHEN 1980+vec_id%46 <= 2021 THEN 'L8' ELSE 'L9' END AS sensor, CASE WHEN embedding[2]>0.1 THEN 255 ELSE 0 END AS mask, CASE WHEN embedding[3]>0 THEN 1 ELSE 0 END AS water FROM embeddings")
 def p12_p16_scaling_and_masks(spark, sf_dir):
     """Reflectance, cloud bits, sensor by year, thresholds; older sensors' bands are renamed on the way."""
     e = F.col("embedding")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", (20000 * F.abs(e[0]).cast("double")).alias("SR_B1"), (F.col("vec_id") * 7 % 32).alias("qa"), (1980 + F.col("vec_id") % 46).alias("year"), e[1].cast("double").alias("x"), e[2].alias("w"))
-    rows = rows.withColumnsRenamed({"SR_B1": k.OLDER_BANDS["SR_B1"]})
-    return rows.select("vec_id", F.round(k.reflectance("SR_B2"), 6).alias("refl"), k.clear_sky("qa").alias("clear"), k.sensor("year").alias("sensor"), k.threshold_mask("x", 0.1).alias("mask"), k.water("w").alias("water"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", *[(20000 * F.abs(e[i]).cast("double")).alias(n) for i, n in enumerate(k.OLDER_BANDS)], (F.col("vec_id") * 7 % 32).alias("qa"), (1980 + F.col("vec_id") % 46).alias("year"), e[1].cast("double").alias("x"), e[2].alias("w"))
+    # All at once: new names are old ones of other bands.
+    rows = rows.select(*[F.col(n).alias(k.OLDER_BANDS.get(n, n)) for n in rows.columns])
+    return rows.select("vec_id", *[F.round(k.reflectance(n), 6).alias(n) for n in k.OLDER_BANDS.values()], k.clear_sky("qa").alias("clear"), k.sensor("year").alias("sensor"), k.threshold_mask("x", 0.1).alias("mask"), k.water("w").alias("water"))
 
 
 @query(f"WITH {BANDS} SELECT px, year, round(quantile_cont(blue,0.5),6) blue, round(quantile_cont(nir,0.5),6) nir FROM bands WHERE (qa & 24) = 0 GROUP BY px, year")
@@ -52,13 +53,17 @@ def j06_u01_overlay(spark, sf_dir):
     return grids.change(two_dates(spark, sf_dir)).select("r", "c", "either", "gained", "lost", "changed")
 
 
-@query(f"WITH {RASTER}, {TWO} SELECT count(*) AS valid, count(*) FILTER (a=0 AND b>0) AS gained, count(*) FILTER (a>0 AND b=0) AS lost, round(count(*) FILTER (a<>b)*900/1e6,6) AS changed_km2, round(count(*) FILTER (a<>b)/count(*)::DOUBLE,6) AS changed_share FROM o")
-def a25_change_statistics(spark, sf_dir):
-    rows = grids.change(two_dates(spark, sf_dir))
-    return rows.agg(F.count("*").alias("valid"), F.count_if("gained").alias("gained"), F.count_if("lost").alias("lost"), F.round(F.count_if("changed") * 900 / 1e6, 6).alias("changed_km2"), F.round(F.count_if("changed") / F.count("*"), 6).alias("changed_share"))
+WET = "wet AS (SELECT layer, r, c FROM ras WHERE water = 1), d AS (SELECT unnest([0,1,-1,0,0]) AS i, unnest([0,0,0,1,-1]) AS j)"
+OUTLINE = "q AS (SELECT layer, r-i AS r, c-j AS c, sum(b) AS k FROM wet, (SELECT unnest([0,0,1,1]) AS i, unnest([0,1,0,1]) AS j, unnest([1,2,4,8]) AS b) GROUP BY layer, r-i, c-j), ol AS (SELECT layer, sum(CASE WHEN k IN (1,2,4,8,7,11,13,14) THEN sqrt(0.5) WHEN k IN (6,9) THEN sqrt(2.0) WHEN k=15 THEN 0 ELSE 1 END) AS length FROM q GROUP BY layer)"
 
 
-WET = "wet AS (SELECT layer, r, c FROM ras WHERE water = 1), d AS (SELECT unnest([0,1,-1,0,0]) AS i, unnest([0,0,0,1,-1]) AS j)"
+@query(f"WITH {RASTER}, {TWO}, {WET}, {OUTLINE} SELECT count(*) AS valid, count(*) FILTER (a=0 AND b>0) AS gained, count(*) FILTER (a>0 AND b=0) AS lost, round(count(*) FILTER (a<>b)*900/1e6,6) AS changed_km2, round(count(*) FILTER (a<>b)/count(*)::DOUBLE,6) AS changed_share, round(count(*) FILTER (a<>b)*900/((SELECT length FROM ol WHERE layer='click')*30),5) AS displacement FROM o")
+def a25_change_statistics(spark, sf_dir):
+    """Changed area, and as a displacement: by the length of the first date's banks."""
+    rows = grids.change(two_dates(spark, sf_dir))
+    bank = grids.outline_length(raster(spark, sf_dir).filter("layer = 'click' AND water = 1").select("layer", "r", "c"), ["layer"])
+    out = rows.agg(F.count("*").alias("valid"), F.count_if("gained").alias("gained"), F.count_if("lost").alias("lost"), F.round(F.count_if("changed") * 900 / 1e6, 6).alias("changed_km2"), F.round(F.count_if("changed") / F.count("*"), 6).alias("changed_share"), F.count_if("changed").alias("changed"))
+    return out.crossJoin(F.broadcast(bank.agg(F.sum("length").alias("bank")))).withColumn("displacement", F.round(F.col("changed") * 900 / F.nullif(F.col("bank") * 30, F.lit(0.0)), 5)).drop("changed", "bank")
 
 
 @query(f"""WITH {RASTER}, {WET}, big AS (SELECT DISTINCT layer, r+i AS r, c+j AS c FROM wet, d), small AS (SELECT layer, r+i AS r, c+j AS c FROM wet, d GROUP BY ALL HAVING count(*)=5)
@@ -107,13 +112,22 @@ def s04_t08_downsample(spark, sf_dir):
     return one.unionByName(grids.downsample(rows, ["layer"], 4, "water", False).select(F.lit("mean").alias("how"), "layer", "r", "c", F.round("water", 6).alias("v")))
 
 
-@query()
+def rotated_sql() -> str:
+    parts = []
+    for tilt in (0, 15, 30, 45):
+        h, w, cos, sin = grids.turned(31, 24, tilt)
+        y, x = f"(r-{(h - 1) / 2!r})", f"(c-{(w - 1) / 2!r})"
+        parts.append(f"SELECT l.layer, {tilt} AS tilt, g.r, g.c, coalesce(CASE WHEN ras.water>0 THEN 255 ELSE 0 END,0)::INTEGER AS v FROM l CROSS JOIN (SELECT r::INTEGER AS r, c::INTEGER AS c, floor(round({y}*({cos!r})+{x}*({sin!r})+15.0,9)+0.5) AS sr, floor(round({x}*({cos!r})-{y}*({sin!r})+11.5,9)+0.5) AS sc FROM (SELECT unnest(range({h})) AS r), (SELECT unnest(range({w})) AS c)) g LEFT JOIN ras ON ras.layer=l.layer AND ras.r=g.sr AND ras.c=g.sc")
+    return f"WITH {RASTER}, l AS (SELECT DISTINCT layer FROM ras) {' UNION ALL '.join(parts)}"
+
+
+@query(rotated_sql())
 def i01_i02_rotated_masks(spark, sf_dir):
-    """A mask at the tilts 0, 15, 30 and 45 degrees."""
-    one = raster(spark, sf_dir).filter("layer = 'click'").select("r", "c", k.threshold_mask("water").alias("v"))
+    """Every mask at the tilts 0, 15, 30 and 45 degrees."""
+    rows = raster(spark, sf_dir).select("layer", "r", "c", k.threshold_mask("water").alias("v"))
     out = None
     for tilt in (0, 15, 30, 45):
-        turned = grids.rotated(one, 31, 24, tilt, "v").withColumn("tilt", F.lit(tilt))
+        turned = grids.rotated(rows, 31, 24, tilt, "v", ["layer"]).withColumn("tilt", F.lit(tilt))
         out = turned if out is None else out.unionByName(turned)
     return out
 
@@ -125,7 +139,12 @@ def i10_f15_roi_candidates(spark, sf_dir):
     return grids.change_windows(two_dates(spark, sf_dir), 10, 8, 5, 4, 0.5, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RASTER}, {TWO}, w AS (SELECT wr, wc FROM (SELECT unnest(range(0,7)) AS wr), (SELECT unnest(range(0,6)) AS wc)),
+s AS (SELECT wr*5 AS r0, wc*4 AS c0, count(*) AS valid, count(*) FILTER (a<>b) AS changed FROM o JOIN w ON r BETWEEN wr*5 AND wr*5+9 AND c BETWEEN wc*4 AND wc*4+7 GROUP BY wr, wc), v AS (SELECT * FROM s WHERE valid >= 40 AND changed >= 1),
+g AS (SELECT 0 AS k, NULL::BIGINT AS r0, NULL::BIGINT AS c0, NULL::BIGINT AS changed, []::BIGINT[] AS rs, []::BIGINT[] AS cs
+ UNION ALL SELECT k, r0, c0, changed, rs, cs FROM (SELECT g.k+1 AS k, v.r0, v.c0, v.changed, list_append(g.rs, v.r0) AS rs, list_append(g.cs, v.c0) AS cs, row_number() OVER (ORDER BY v.changed DESC, v.r0, v.c0) AS n
+   FROM g, v WHERE g.k < 3 AND len(list_filter(list_zip(g.rs, g.cs), lambda z: (z[1]-v.r0)*(z[1]-v.r0)+(z[2]-v.c0)*(z[2]-v.c0) < 64)) = 0) WHERE n=1)
+SELECT r0, c0, changed FROM g WHERE k > 0""")
 def t05_separated_rois(spark, sf_dir):
     """The three best windows at least eight pixels apart."""
     rows = grids.separated_top(grids.change_windows(two_dates(spark, sf_dir), 10, 8, 5, 4, 0.5, 1), 3, 8.0)
