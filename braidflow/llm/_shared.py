@@ -16,8 +16,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows, and bytes, that Spark hands to a Python worker at once. Texts can be long, so the usual 10,000 could be gigabytes.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Rows, and bytes, that Spark hands to a Python worker at once. Texts can be long, so that rows alone could be gigabytes.
+ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
 #: Bytes of UTF-8 text after which a Python operator hands its results on.
 CHUNK_BYTES = 4 << 20
 #: Words are runs of characters other than ASCII white space.

@@ -23,6 +23,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +42,9 @@ CHUNK, BLOCK = 1 << 20, 1 << 16
 #: Bytes that the decoder's machine takes at once.
 DECODED = 1 << 16
 _SPACE = re.compile(r"[ \t\n\r\x0b\f]")
-MARKS = frozenset(".,!?;:")
+#: Marks that a word can end in, and words of Latin letters with one of them or none.
+MARKS = [*".,!?;:"]
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+[.,!?;:]?$"
 _PLAIN = re.compile(r"([a-z]+)([.,!?]?)")
 _BITS, _NONE = 24, 1 << 60
 
@@ -346,18 +349,9 @@ def slices(text: str, size: int = CHUNK) -> Iterator[str]:
         start = end
 
 
-def folded(word: str) -> tuple[str, str] | None:
-    """Lower-cased Latin letters and a final mark or none, if the word is made of these and isn't just such letters."""
-    letters, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
-    if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
-        return None
-    low = letters.lower()
-    return (low, mark) if mark or low != word else None
-
-
 class Memo(dict):
-    """Word to row of a bounded table of token ids. encode gives the ids of a list of words. With folds, words of letters and a
-    mark are made of the lower-cased letters' and the mark's ids: the tokenizer must lower-case and part them there."""
+    """Word to row of a bounded table of token ids. encode gives the ids of a list of words. With folds, a word of Latin
+    letters and a mark or none is its lower-cased letters and the mark: the tokenizer must lower-case and part them there."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], folds: bool = False, words: int = MEMO_WORDS) -> None:
         super().__init__()
@@ -367,10 +361,13 @@ class Memo(dict):
     def reset(self) -> None:
         self.clear()
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
+        self.hold([""], [[]])
+        if self.folds:
+            self.hold(MARKS, list(self.encode(MARKS)))
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an array of texts, one after the other, as unsigned 32-bit integers, and where each text's begin
-        and end. Splitting and finding the distinct words is Arrow's; Python sees each of those once."""
+        and end. Splitting, folding and finding the distinct words is Arrow's; Python sees each of those once."""
         texts = pc.fill_null(texts, "")
         if len(texts) == 1 and texts.nbytes > 2 * CHUNK:
             parts = [self.many(pa.array([x], pa.string()))[0] for x in slices(texts[0].as_py())]
@@ -380,53 +377,46 @@ class Memo(dict):
             self.reset()
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        stems, marks = words.dictionary, np.zeros(len(words.dictionary), np.int64)
+        if self.folds:
+            plain = pc.match_substring_regex(stems, LETTERS)
+            last = pc.index_in(pc.utf8_slice_codeunits(stems, -1), pa.array(MARKS))
+            marks = np.where(plain.to_numpy(zero_copy_only=False), pc.fill_null(last, -1).to_numpy() + 1, 0)
+            stems = pc.if_else(plain, pc.utf8_rtrim(pc.utf8_lower(stems), "".join(MARKS)), stems)
+        stems = stems.dictionary_encode()
+        distinct = stems.dictionary.to_pylist()
         found = list(map(self.get, distinct))
         new = [i for i, row in enumerate(found) if row is None]
         if new:
-            self.learn([distinct[i] for i in new])
-            for i in new:
-                found[i] = self[distinct[i]]
-        rows = np.array(found, np.int64)[words.indices.to_numpy()] if found else np.zeros(0, np.int64)
-        for i in new:
-            if len(distinct[i]) > LONG_WORD:
-                del self[distinct[i]]
-        if not len(rows):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            fresh = [distinct[i] for i in new]
+            first = len(self.starts)
+            self.hold(fresh, list(self.encode(fresh)))
+            for row, i in enumerate(new, first):
+                found[i] = row
+            for w in fresh:
+                if len(w) > LONG_WORD:
+                    del self[w]
+        # Two rows for each word: its stem's and its mark's, or the empty one.
+        both = np.stack([np.array(found, np.int64)[stems.indices.to_numpy()], marks], 1)
+        rows = both[words.indices.to_numpy()].reshape(-1)
         sizes = np.frombuffer(self.sizes, np.int32)[rows]
         ends = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
-        # Where each word's ids are held, less where they go: added to every place they go to.
+        # Where each row's ids are held, less where they go: added to every place they go to.
         shift = (np.frombuffer(self.starts, np.int64)[rows] - ends[:-1]).astype(np.int32)
         at = np.repeat(shift, sizes)
         at += np.arange(len(at), dtype=np.int32)
-        return np.frombuffer(self.ids, np.uint32)[at], ends[lists.offsets.to_numpy()]
-
-    def learn(self, fresh: list[str]) -> None:
-        """Encode words that aren't held."""
-        made = {w: p for w in fresh if (p := folded(w))} if self.folds else {}
-        if made:
-            parts = dict.fromkeys(x for p in made.values() for x in p if x and x not in self)
-            fresh = [*dict.fromkeys([*(w for w in fresh if w not in made), *parts])]
-        ids, starts, sizes, end = self.ids, self.starts, self.sizes, len(self.ids)
-        for word, own_ids in zip(fresh, self.encode(fresh), strict=True):
-            self[word] = len(starts)
-            starts.append(end)
-            sizes.append(n := len(own_ids))
-            ids.extend(own_ids)
-            end += n
-        for word, parts in made.items():
-            self[word] = len(starts)
-            starts.append(end)
-            n = 0
-            for x in parts:
-                if x:
-                    row = self[x]
-                    held = ids[starts[row] : starts[row] + sizes[row]]
-                    ids.extend(held)
-                    n += len(held)
-            sizes.append(n)
-            end += n
+        return np.frombuffer(self.ids, np.uint32)[at], ends[2 * lists.offsets.to_numpy().astype(np.int64)]
+
+    def hold(self, words: list[str], lists: list[list[int]]) -> None:
+        first, end = len(self.starts), len(self.ids)
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        self.ids.extend(chain.from_iterable(lists))
+        self.sizes.frombytes(sizes.tobytes())
+        self.starts.frombytes((end + np.cumsum(sizes, dtype=np.int64) - sizes).tobytes())
+        self.update(zip(words, range(first, first + len(words)), strict=True))
 
 
 _HELD: dict[str, tuple[Transducer, Memo, Decoder]] = {}
@@ -436,7 +426,7 @@ def held(path: str) -> tuple[Transducer, Memo, Decoder]:
     """This worker's transducer, the words that it remembers and the decoder."""
     if path not in _HELD:
         t = Transducer(path)
-        folds = t.word("Abcé") == t.word("abcé") and all(t.word("Abcé" + m) == t.word("abcé") + t.word(m) for m in sorted(MARKS))
+        folds = t.word("Abcé") == t.word("abcé") and all(t.word("Abcé" + m) == t.word("abcé") + t.word(m) for m in MARKS)
         _HELD[path] = t, Memo(lambda words: map(t.word, words), folds), Decoder(t)
     return _HELD[path]
 

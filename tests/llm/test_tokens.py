@@ -191,3 +191,14 @@ def test_encode_replaces_clashing_columns_and_decodes_back(spark, library):
     for r in out.collect():
         assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == library.decode(r["ids"], skip_special_tokens=False)
+
+
+def test_memo_with_and_without_folding(library):
+    """The same ids whether words share what they are made of or not, and when the memo starts anew."""
+    encode = lambda words: [library.encode(w, add_special_tokens=False).ids for w in words]
+    texts = [". , Word word. WORD! wörd; Wörd? word.. 'S it's", None, "", "ªº µm İstanbul ŉ ABC: x", "a." * 300]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for memo in (bpe.Memo(encode), bpe.Memo(encode, folds=True), bpe.Memo(encode, folds=True, words=2)):
+        for _ in range(3):
+            flat, edges = memo.many(pa.array(texts))
+            assert [flat[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == want
