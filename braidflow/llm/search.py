@@ -130,9 +130,12 @@ def in_blocks(spark: SparkSession, queries: str, candidates: str, dim: int, k: i
 
 
 def chosen(rows: DataFrame, every: int) -> DataFrame:
-    """The queries, dealt out in as many partitions as they fill files."""
+    """The queries, dealt out in as many partitions as they fill files, or as there are cores for: finding a query's cells
+    takes longer than its row is large."""
     rows = rows.filter(F.col("vec_id") % every == 0)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(1, -(-rows.count() // QUERY_ROWS)), "vec_id")
+    n = rows.count()
+    parts = max(1, -(-n // QUERY_ROWS), min(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // 64)))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).repartition(parts, "vec_id")
 
 
 def term_at_a_time(dim: int, scale: float) -> Callable:
