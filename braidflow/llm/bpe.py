@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import own, pieces, prepare, take_memory
+from ._shared import own, pieces, prepare, take_memory, tidied
 
 #: Distinct words, and their mean tokens, that a worker remembers before it starts anew (about 150 MB); words beyond LONG_WORD never are.
 MEMO_WORDS, MEMO_TOKENS_A_WORD, LONG_WORD = 750_000, 8, 200
@@ -465,7 +465,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
                 arrays.append(pa.array(["".join(decoder.run([data[a:b]])) for a, b in spans(at, edges)], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def spans(at: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -489,7 +489,7 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "dec
             texts = [decoder.text(np.array([i if i >= 0 else decoder.size for i in x or [] if i is not None], np.int64)) for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(tidied(run), schema)
 
 
 def digest_rows(docs: DataFrame, tokenizer: str, keep: list[str], ids: str | None = None, text: str = "text") -> DataFrame:
@@ -519,7 +519,7 @@ def digest_rows(docs: DataFrame, tokenizer: str, keep: list[str], ids: str | Non
                 arrays.insert(-2, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:

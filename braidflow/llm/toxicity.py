@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc32_mod, own, pieces, prepare, take_memory
+from ._shared import crc32_mod, own, pieces, prepare, take_memory, tidied
 
 #: Labelled texts of each class to fit on at most, the log-likelihood ratio and the share of toxic texts that an entry needs,
 #: lengths of stems, and the score from which a text is taken as toxic.
@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                         yield part()
             yield part()
 
-        return read.filter("toxic" if toxic else "NOT toxic").mapInArrow(run, "feature string, n long, bits long").groupBy("feature").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("contexts"))
+        return read.filter("toxic" if toxic else "NOT toxic").mapInArrow(tidied(run), "feature string, n long, bits long").groupBy("feature").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("contexts"))
 
     # Copies of one text all have the same words: an entry must have stood after different words.
     toxic = count(True).filter((F.col("n") >= max(3, int(0.002 * n))) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= 0.4 * F.least("n", F.lit(50))))
@@ -339,7 +339,7 @@ def weigh_misspellings(lexicon: Lexicon, read: DataFrame, n: int, m: int) -> Lex
                 seen.update((entry, kind, toxic) for entry, kind in found if kind % 2)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.bool_()))] + [pa.array(list(seen.values()), pa.int64())], ["entry", "kind", "toxic", "n"])
 
-    rows = read.mapInArrow(run, "entry string, kind int, toxic boolean, n long").groupBy("entry", "kind", "toxic").agg(F.sum("n").alias("n")).collect()  # entries at most
+    rows = read.mapInArrow(tidied(run), "entry string, kind int, toxic boolean, n long").groupBy("entry", "kind", "toxic").agg(F.sum("n").alias("n")).collect()  # entries at most
     seen = {(r["entry"], r["kind"], r["toxic"]): r["n"] for r in rows}
     for entries, kind in ((lexicon.words, 1), (lexicon.stems, 3)):
         for w, (exact, guess) in entries.items():
@@ -368,7 +368,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
                 found = [scorer.score(t) for t in b.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 _SCORERS: dict[tuple, Scorer] = {}
