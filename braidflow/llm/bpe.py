@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import own, pieces, prepare, take_memory, tidied
+from ._shared import give_back, own, pieces, prepare, take_memory, tidied
 
-#: Distinct words, and their mean tokens, that a worker remembers before it starts anew (about 150 MB); words beyond LONG_WORD never are.
-MEMO_WORDS, MEMO_TOKENS_A_WORD, LONG_WORD = 750_000, 8, 200
+#: Distinct words, and their mean tokens, that a worker remembers before it starts anew (about 50 MB); words beyond LONG_WORD never are.
+MEMO_WORDS, MEMO_TOKENS_A_WORD, LONG_WORD = 250_000, 8, 200
 #: Bytes of text that are encoded at once, and characters of a run without white space that are.
 CHUNK, BLOCK = 1 << 20, 1 << 16
 #: Bytes that the decoder's machine takes at once.
@@ -100,7 +100,8 @@ class Transducer:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
             raise ValueError("only plain BPE models are supported")
-        library = Tokenizer.from_file(path)
+        # For normalising and splitting alone: without the model's tables.
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}))
         self.normalise = library.normalizer.normalize_str if library.normalizer else str
         self.split = library.pre_tokenizer.pre_tokenize_str if library.pre_tokenizer else lambda x: [(x, (0, len(x)))]
         self.vocab: dict[str, int] = model["vocab"]
@@ -428,6 +429,7 @@ def held(path: str) -> tuple[Transducer, Memo, Decoder]:
         t = Transducer(path)
         folds = t.word("Abcé") == t.word("abcé") and all(t.word("Abcé" + m) == t.word("abcé") + t.word(m) for m in MARKS)
         _HELD[path] = t, Memo(lambda words: map(t.word, words), folds), Decoder(t)
+        give_back()  # what building the tables took
     return _HELD[path]
 
 
