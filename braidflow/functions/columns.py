@@ -126,6 +126,22 @@ def clamped(low, high, least, most) -> tuple[Column, Column]:
     return new_low, new_high
 
 
+def part_of(low, high, first, last) -> tuple[Column, Column]:
+    """The interval between two fractions of another."""
+    w = c(high) - c(low)
+    return c(low) + c(first) * w, c(low) + c(last) * w
+
+
+def around(centre, size) -> tuple[Column, Column]:
+    """The interval of a size about a centre."""
+    return c(centre) - c(size) * 0.5, c(centre) + c(size) * 0.5
+
+
+def shifted(low, high, by, least, most) -> tuple[Column, Column]:
+    """An interval moved by a distance, then into limits."""
+    return clamped(c(low) + c(by), c(high) + c(by), least, most)
+
+
 def pixel_window(low, high, origin, step, size) -> tuple[Column, Column]:
     """(offset, length) in pixels of an interval of map coordinates; NULL where one pixel or less is inside."""
     first = F.rint((c(low) - c(origin)) / c(step))

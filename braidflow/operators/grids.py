@@ -107,16 +107,35 @@ def downsample(raster: DataFrame, keys: list[str], step: int, value: str, neares
     return raster.groupBy(*keys, r.alias("r"), c.alias("c")).agg(F.avg(value).alias(value))
 
 
+def in_windows(rows: DataFrame, size_r: int, size_c: int, step_r: int, step_c: int) -> DataFrame:
+    """Rows at (r, c) once for each sliding window (wr, wc) that holds them."""
+    low = lambda x, size, step: F.greatest(F.lit(0), F.ceil((F.col(x) - size + 1) / step))
+    rows = rows.withColumn("wr", F.explode(F.sequence(low("r", size_r, step_r), F.floor(F.col("r") / step_r))))
+    return rows.withColumn("wc", F.explode(F.sequence(low("c", size_c, step_c), F.floor(F.col("c") / step_c))))
+
+
 def change_windows(both: DataFrame, size_r: int, size_c: int, step_r: int, step_c: int, valid_share: float, least: int) -> DataFrame:
     """Sliding windows of an overlay with their changed and valid pixels: each pixel goes to the windows that hold it."""
-    low = lambda x, size, step: F.greatest(F.lit(0), F.ceil((F.col(x) - size + 1) / step))
-    rows = both.withColumn("wr", F.explode(F.sequence(low("r", size_r, step_r), F.floor(F.col("r") / step_r))))
-    rows = rows.withColumn("wc", F.explode(F.sequence(low("c", size_c, step_c), F.floor(F.col("c") / step_c))))
+    rows = in_windows(both, size_r, size_c, step_r, step_c)
     out = rows.groupBy("wr", "wc").agg(F.count("*").alias("valid"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
     out = out.withColumn("score", F.col("changed").cast("double"))
     return out.filter((F.col("valid") >= valid_share * size_r * size_c) & (F.col("changed") >= least)).select((F.col("wr") * step_r).alias("r0"), (F.col("wc") * step_c).alias("c0"), "valid", "changed", "score")
 
 
+def moderated(windows: DataFrame, vectors: DataFrame, size_r: int, size_c: int, step_r: int, step_c: int, most: float = 1.9, weight: float = 0.8) -> DataFrame:
+    """Windows whose displacements aren't extreme: ratio is the 90th percentile of the lengths m of a window's vectors (r, c,
+    m) to that of all. Above `most` a window goes; above 1 its score falls by `weight`. Without vectors, or where either
+    percentile isn't positive, it stays as it is, its ratio NULL."""
+    rows = vectors.filter(F.col("m").isNotNull() & ~F.isnan("m"))
+    whole = rows.agg(F.expr("percentile(m, 0.9)").alias("whole"))
+    at = in_windows(rows, size_r, size_c, step_r, step_c).groupBy("wr", "wc").agg(F.expr("percentile(m, 0.9)").alias("p90"))
+    at = at.select((F.col("wr") * step_r).alias("r0"), (F.col("wc") * step_c).alias("c0"), "p90")
+    ratio = F.when((F.col("p90") > 0) & (F.col("whole") > 0), F.col("p90") / F.col("whole"))
+    out = windows.join(at, ["r0", "c0"], "left").crossJoin(F.broadcast(whole)).withColumn("ratio", ratio).drop("p90", "whole")  # one row
+    out = out.filter(F.col("ratio").isNull() | (F.col("ratio") <= most))
+    return out.withColumn("score", F.col("score") / (1 + weight * F.greatest(F.coalesce("ratio", F.lit(1.0)) - 1, F.lit(0.0))))
+
+
 def separated_top(windows: DataFrame, n: int, apart: float) -> list[dict]:
     """Greedy choice of the n best windows at least `apart` pixels from each other: each is the best of those that the ones
     before leave."""

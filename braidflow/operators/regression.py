@@ -43,17 +43,30 @@ def power_law(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return fit.join(r2, keys, "left")
 
 
-def binned(rows: DataFrame, keys: list[str], x: str, y: str, bins: int, least: int = 5, log: bool = False) -> DataFrame:
+def binned(rows: DataFrame, keys: list[str], x: str, y: str, bins: int, least: int = 5, log: bool = False, clip: tuple[float, float] | None = None, pooled: bool = False) -> DataFrame:
     """Count, and from `least` on mean and quartiles, of y in `bins` even bins of x over its group's range, by its logarithm
-    if asked; bins are half-open, the last is closed."""
+    if asked; bins are half-open, the last is closed.
+
+    With clip the range lies between those quantiles of x (the first at most, the second at least the median), up to the
+    largest x where they are equal, a hundredth wide where that is too; x outside are in no bin. With pooled all groups
+    share one range.
+    """
     rows = rows.filter(clean(x).isNotNull() & clean(y).isNotNull())
     if log:
         rows = rows.filter(F.col(x) > 0)
-    v = F.log10(x) if log else F.col(x)
-    rows = rows.withColumn("_v", v)
-    box = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    rows = rows.join(box, keys)
-    at = F.floor(F.round((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins, 9))
+    v = (lambda c: F.log10(c)) if log else (lambda c: c)
+    box_keys = [] if pooled else keys
+    if clip:
+        low, high = min(max(clip[0], 0.0), 0.5), max(min(clip[1], 1.0), 0.5)
+        box = rows.groupBy(*box_keys).agg(F.expr(f"percentile({x}, {low})").alias("_lo"), F.expr(f"percentile({x}, {high})").alias("_hi"), F.max(x).alias("_top"))
+        hi = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).when(F.col("_top") > F.col("_lo"), F.col("_top")).otherwise(F.col("_lo") + F.abs("_lo") * 0.01)
+        box = box.select(*box_keys, "_lo", hi.alias("_hi"))
+    else:
+        box = rows.groupBy(*box_keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    rows = rows.join(box, box_keys) if box_keys else rows.crossJoin(F.broadcast(box))  # one row
+    rows = rows.filter(F.col(x).between(F.col("_lo"), F.col("_hi")))
+    lo, hi = v(F.col("_lo")), v(F.col("_hi"))
+    at = F.floor(F.round((v(F.col(x)) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins, 9))
     rows = rows.withColumn("bin", F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int"))
     out = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.expr(f"percentile({y}, 0.25)").alias("p25"), F.expr(f"percentile({y}, 0.75)").alias("p75"))
     return out.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("mean", "p25", "p75")})

@@ -159,6 +159,14 @@ def a16_log_bins(spark, sf_dir):
     return regression.binned(xy(spark, sf_dir), ["g"], "x", "y", 12, log=True).withColumns({c: F.round(c, 4) for c in ("mean", "p25", "p75")})
 
 
+@query(f"""WITH {XY}, q AS (SELECT quantile_cont(x,0.02)::DOUBLE AS lo, quantile_cont(x,0.98)::DOUBLE AS hi, max(x)::DOUBLE AS top FROM xy), b AS (SELECT lo, CASE WHEN hi>lo THEN hi WHEN top>lo THEN top ELSE lo*1.01 END AS hi FROM q),
+k AS (SELECT g, least(coalesce(floor(round((log10(x)-log10(lo))/nullif(log10(hi)-log10(lo),0)*12,9)),0),11)::INTEGER AS bin, y FROM xy, b WHERE x BETWEEN lo AND hi)
+SELECT g, bin, count(*) AS n, round(CASE WHEN count(*)>=5 THEN avg(y) END,4) AS mean, round(CASE WHEN count(*)>=5 THEN quantile_cont(y,0.25) END,4) AS p25, round(CASE WHEN count(*)>=5 THEN quantile_cont(y,0.75) END,4) AS p75 FROM k GROUP BY g, bin""")
+def a16_u03_pooled_clipped_bins(spark, sf_dir):
+    """Bins by logarithm between the 2nd and the 98th percentile of x over all groups together."""
+    return regression.binned(xy(spark, sf_dir), ["g"], "x", "y", 12, log=True, clip=(0.02, 0.98), pooled=True).withColumns({c: F.round(c, 4) for c in ("mean", "p25", "p75")})
+
+
 @query(f"WITH {XY} SELECT g, count(*) AS n, round(regr_slope(y,x),4) AS slope, round(regr_intercept(y,x),4) AS intercept, round(regr_r2(y,x),6) AS r2 FROM xy GROUP BY g")
 def a17_a20_linear_fit(spark, sf_dir):
     return regression.linear(xy(spark, sf_dir), ["g"], "x", "y").select("g", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))

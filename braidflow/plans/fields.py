@@ -144,3 +144,17 @@ def p29_p30_pixel_windows(spark, sf_dir):
     """A region of interest of a fixed size around each supplier's balance as a window of pixels."""
     off, length = k.pixel_window("s_acctbal", F.col("s_acctbal") + 600, -1000.0, 30.0, 300)
     return table(spark, sf_dir, "supplier").select("s_suppkey", off.alias("off"), length.alias("len"))
+
+
+@query("""WITH b AS (SELECT s_nationkey, min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier GROUP BY s_nationkey),
+r AS (SELECT s_suppkey, lo+0.25*(hi-lo) AS part_low, lo+0.6*(hi-lo) AS part_high, s_acctbal-500 AS a, s_acctbal+500 AS z, lo, hi FROM supplier JOIN b USING (s_nationkey))
+SELECT s_suppkey, round(part_low,6) AS part_low, round(part_high,6) AS part_high, round(a,6) AS low, round(z,6) AS high,
+round(CASE WHEN 1000.0>=hi-lo THEN lo ELSE least(greatest(a+750,lo),hi-1000) END,6) AS moved_low, round(CASE WHEN 1000.0>=hi-lo THEN hi ELSE least(greatest(a+750,lo),hi-1000)+1000 END,6) AS moved_high FROM r""")
+def p30_regions(spark, sf_dir):
+    """Regions by fractions of a nation's range, about a centre by size, and shifted into that range."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    rows = rows.join(rows.groupBy("s_nationkey").agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi")), "s_nationkey")
+    part, box = k.part_of("lo", "hi", F.lit(0.25), F.lit(0.6)), k.around("s_acctbal", F.lit(1000.0))
+    moved = k.shifted(*box, F.lit(750.0), "lo", "hi")
+    names = ("part_low", "part_high", "low", "high", "moved_low", "moved_high")
+    return rows.select("s_suppkey", *[F.round(x, 6).alias(n) for n, x in zip(names, (*part, *box, *moved), strict=True)])

@@ -139,6 +139,21 @@ def i10_f15_roi_candidates(spark, sf_dir):
     return grids.change_windows(two_dates(spark, sf_dir), 10, 8, 5, 4, 0.5, 3)
 
 
+@query(f"""WITH {RASTER}, {TWO}, w AS (SELECT wr, wc FROM (SELECT unnest(range(0,7)) AS wr), (SELECT unnest(range(0,6)) AS wc)),
+s AS (SELECT wr*5 AS r0, wc*4 AS c0, count(*) AS valid, count(*) FILTER (a<>b) AS changed FROM o JOIN w ON r BETWEEN wr*5 AND wr*5+9 AND c BETWEEN wc*4 AND wc*4+7 GROUP BY wr, wc),
+v AS (SELECT vec_id%31 AS r, vec_id//31%24 AS c, sqrt(embedding[1]::DOUBLE*embedding[1]::DOUBLE+embedding[2]::DOUBLE*embedding[2]::DOUBLE) AS m FROM embeddings),
+p AS (SELECT wr*5 AS r0, wc*4 AS c0, quantile_cont(m,0.9) AS p90 FROM v JOIN w ON r BETWEEN wr*5 AND wr*5+9 AND c BETWEEN wc*4 AND wc*4+7 GROUP BY wr, wc),
+t AS (SELECT s.*, p90/(SELECT quantile_cont(m,0.9) FROM v) AS ratio FROM s LEFT JOIN p USING (r0, c0) WHERE valid >= 40 AND changed >= 3)
+SELECT r0, c0, valid, changed, round(changed/(1+0.8*greatest(coalesce(ratio,1)-1,0)),6) AS score, round(ratio,6) AS ratio FROM t WHERE ratio IS NULL OR ratio <= 1.9""")
+def i10_f15_moderated_candidates(spark, sf_dir):
+    """Windows of change, those of extreme displacement left out or marked down."""
+    e = F.col("embedding")
+    x, y = e[0].cast("double"), e[1].cast("double")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") % 31).alias("r"), (F.floor(F.col("vec_id") / 31) % 24).alias("c"), F.sqrt(x * x + y * y).alias("m"))
+    out = grids.moderated(grids.change_windows(two_dates(spark, sf_dir), 10, 8, 5, 4, 0.5, 3), vectors, 10, 8, 5, 4)
+    return out.select("r0", "c0", "valid", "changed", F.round("score", 6).alias("score"), F.round("ratio", 6).alias("ratio"))
+
+
 @query(f"""WITH RECURSIVE {RASTER}, {TWO}, w AS (SELECT wr, wc FROM (SELECT unnest(range(0,7)) AS wr), (SELECT unnest(range(0,6)) AS wc)),
 s AS (SELECT wr*5 AS r0, wc*4 AS c0, count(*) AS valid, count(*) FILTER (a<>b) AS changed FROM o JOIN w ON r BETWEEN wr*5 AND wr*5+9 AND c BETWEEN wc*4 AND wc*4+7 GROUP BY wr, wc), v AS (SELECT * FROM s WHERE valid >= 40 AND changed >= 1),
 g AS (SELECT 0 AS k, NULL::BIGINT AS r0, NULL::BIGINT AS c0, NULL::BIGINT AS changed, []::BIGINT[] AS rs, []::BIGINT[] AS cs

@@ -15,7 +15,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["a01_ensemble_stats", "a07_a08_link_summary", "p17_p20_surface_water", "g01_a11_clusters", "j01_nearest_grid_point", "w11_a09_j11_trunk_samples"])
+@pytest.mark.parametrize("name", ["a01_ensemble_stats", "a07_a08_link_summary", "p17_p20_surface_water", "g01_a11_clusters", "j01_nearest_grid_point", "w11_a09_j11_trunk_samples", "a15_binned_statistics", "a16_log_bins", "a16_u03_pooled_clipped_bins", "i10_f15_moderated_candidates", "p30_regions"])
 def test_against_oracle(spark, name):
     db = duckdb.connect()
     for t in TABLES:

@@ -238,3 +238,21 @@ def test_window_read_beyond_the_raster(spark):
 def test_functions_stay_in_generated_code(spark):
     df = ensemble.vector_stats(spark.range(10).select((F.col("id") % 2).alias("cell"), F.col("id").cast("double").alias("u"), F.lit(1.0).alias("v")), ["cell"])
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_moderated_drops_extreme_windows_and_marks_down_fast_ones(spark):
+    windows = spark.createDataFrame([(0, 0, 8, 8.0), (0, 2, 8, 8.0), (2, 0, 8, 8.0), (2, 2, 8, 8.0)], "r0 long, c0 long, changed long, score double")
+    vectors = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (0, 2, 1.5), (2, 0, 100.0), (1, 1, None), (1, 3, float("nan"))], "r long, c long, m double")
+    whole = 1.5 + 0.6 * 98.5  # 90th percentile of five lengths
+    got = {(w["r0"], w["c0"]): (w["ratio"], w["score"]) for w in grids.moderated(windows, vectors, 2, 2, 2, 2).collect()}
+    assert got.keys() == {(0, 0), (0, 2), (2, 0), (2, 2)} and got[2, 2] == (None, 8.0)
+    assert got[0, 0] == (pytest.approx(1 / whole), 8.0)
+    assert got[2, 0][1] == pytest.approx(8.0 / (1 + 0.8 * (100 / whole - 1)))
+    assert (2, 0) not in {(w["r0"], w["c0"]) for w in grids.moderated(windows, vectors, 2, 2, 2, 2, most=1.5).collect()}
+
+
+def test_clipped_bins_of_one_value_are_one_bin(spark):
+    rows = spark.createDataFrame([("a", 3.0, float(i)) for i in range(6)], "g string, x double, y double")
+    got = regression.binned(rows, ["g"], "x", "y", 4, log=True, clip=(0.02, 0.98), pooled=True).collect()
+    assert [(r["bin"], r["n"], r["mean"]) for r in got] == [(0, 6, 2.5)]
+    assert regression.binned(rows.limit(0), ["g"], "x", "y", 4, clip=(0.1, 0.9)).count() == 0
