@@ -21,27 +21,47 @@ def within(points: DataFrame, tolerance: float) -> DataFrame:
     return probes.join(cell.withColumnRenamed("id", "b"), ["i", "j"]).filter((F.col("a") < F.col("b")) & (d2 <= tolerance * tolerance)).select("a", "b")
 
 
+#: Squares a tolerance: so many that all points of one square are within it, rounding included.
+FINE = 1.5
+
+
 def clusters(points: DataFrame, tolerance: float) -> DataFrame:
     """(id, root): the smallest id that steps of at most the tolerance reach. Without a positive tolerance each point is
-    its own. Labels go over the links and jump to their labels' labels each round, until none changes; each round's table
-    is a checkpoint, which outlives lost executors."""
+    its own. Points are put in squares so small that all of one square are joined, and two squares are linked once, however
+    many of their points are near each other. Labels go over the links of squares and jump to their labels' labels each
+    round, until none changes; each round's table is a checkpoint, which outlives lost executors."""
     points = points.select("id", "x", "y")
-    nodes = points.select("id", F.col("id").alias("root"))
     if not tolerance > 0:
-        return nodes
-    links = within(points, tolerance)
-    links = links.union(links.select("b", "a")).toDF("a", "b").transform(saved)
-    labels = saved(nodes)
+        return points.select("id", F.col("id").alias("root"))
+    side = tolerance / FINE
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    placed = saved(points.select("id", "x", "y", F.when(known, F.floor(F.col("x") / side)).alias("i"), F.when(known, F.floor(F.col("y") / side)).alias("j")))
+    squares = saved(placed.filter(known).groupBy("i", "j").agg(F.min("id").alias("square")))
+    held = placed.join(squares, ["i", "j"]).select("x", "y", "i", "j", "square")
+    links = saved(adjacent(held, tolerance))
+    links = links.union(links.select("b", "a")).toDF("a", "b")
+    labels = squares.select(F.col("square").alias("id"), F.col("square").alias("root"))
     while True:
         near = links.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"))
+        moved = labels.join(near, "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("before"))
         jumps = moved.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        after = saved(moved.join(jumps, "root", "left").select("id", F.least("root", F.coalesce("further", "root")).alias("root"), F.col("root").alias("old")))
-        after_labels = after.select("id", "root")
-        changed = after_labels.join(labels.select("id", F.col("root").alias("before")), "id").filter("root <> before").limit(1).count()
-        labels = after_labels
+        after = saved(moved.join(jumps, "root", "left").select("id", F.least("root", F.coalesce("further", "root")).alias("root"), "before"))
+        changed = after.filter("root <> before").limit(1).count()
+        labels = after.select("id", "root")
         if not changed:
-            return labels
+            break
+    named = squares.join(labels.withColumnRenamed("id", "square"), "square").select("i", "j", "root")
+    return placed.join(named, ["i", "j"], "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def adjacent(held: DataFrame, tolerance: float) -> DataFrame:
+    """(a, b) of squares that have points (x, y, i, j, square) within the tolerance of each other, each pair once."""
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in steps])
+    probes = held.select(F.col("square").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "i", "j", F.explode(around).alias("d"))
+    probes = probes.select("a", "ax", "ay", (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"))
+    d2 = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
+    return probes.join(held.withColumnRenamed("square", "b"), ["i", "j"]).filter(d2 <= tolerance * tolerance).select("a", "b").distinct()
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -256,3 +256,15 @@ def test_clipped_bins_of_one_value_are_one_bin(spark):
     got = regression.binned(rows, ["g"], "x", "y", 4, log=True, clip=(0.02, 0.98), pooled=True).collect()
     assert [(r["bin"], r["n"], r["mean"]) for r in got] == [(0, 6, 2.5)]
     assert regression.binned(rows.limit(0), ["g"], "x", "y", 4, clip=(0.1, 0.9)).count() == 0
+
+
+def test_clusters_link_squares_not_points(spark, monkeypatch):
+    """2,000 points in one spot, a chain beside them, one alone and one without a place: links are of squares, not of points."""
+    rows = [(i, 0.1 + i * 1e-7, 0.1) for i in range(2000)] + [(3000 - k, 0.1 + 0.0049 * k, 0.1) for k in range(1, 8)] + [(4000, 0.9, 0.9), (4001, None, 0.1)]
+    sizes = []
+    kept = network.saved
+    monkeypatch.setattr(network, "saved", lambda df: sizes.append((df.columns, (out := kept(df)).count())) or out)
+    got = dict(network.clusters(spark.createDataFrame(rows, "id long, x double, y double"), 0.005).collect())
+    assert got == {i: 0 if i < 3000 else i for i, _, _ in rows}
+    assert all(n < 200 for names, n in sizes if names == ["a", "b"])
+    assert all(n < 200 for names, n in sizes if "before" in names)
