@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ def clusters(points: DataFrame, tolerance: float) -> DataFrame:
     """(id, root): the smallest id that steps of at most the tolerance reach. Without a positive tolerance each point is
     its own. Points are put in squares so small that all of one square are joined, and two squares are linked once, however
     many of their points are near each other. Labels go over the links of squares and jump to their labels' labels each
-    round, until none changes; each round's table is a checkpoint, which outlives lost executors."""
+    round, until none changes; each round's table is written, which outlives lost executors."""
     points = points.select("id", "x", "y")
     if not tolerance > 0:
         return points.select("id", F.col("id").alias("root"))
@@ -65,16 +66,17 @@ def adjacent(held: DataFrame, tolerance: float) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp()
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df written as Parquet in the folder that spark.checkpoint.dir names and read back. A checkpoint keeps its plan's estimate of
+    its size, which joins multiply each round until the number itself fills the driver."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp()}"
+    path = f"{folder.rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def main_axis(nodes: DataFrame) -> DataFrame:
